@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding over a rank file, with a hierarchical-bitmap rank queue.
 
 A pre-token's bytes form a doubly linked list. Each adjacent pair that the ranks know is put into the bucket of its
-merge rank, and the rank's bit is set in a bitmap of three levels; the next merge is found by find-first-set from the
-top level down, three word operations whatever the length. Buckets give their positions from the left; an entry whose
+merge rank, and the rank's bit is set in a bitmap of two levels; the next merge is found by find-first-set from the
+top level down, two word operations whatever the length. Buckets give their positions from the left; an entry whose
 pair has changed since is stale and skipped. A pre-token of n bytes takes O(n log n) time at worst and O(n) memory.
 """
 
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -22,19 +21,19 @@ from pyspark.sql import functions as F
 from tallyline.llm.common import slices, texts_of
 from tallyline.llm.encoders import _Cache, splitter
 
-WORD = 64
+WORD = 256  # bits of a bitmap word (a Python integer)
+_BITS = [1 << i for i in range(WORD)]
 
 
 class RankQueue:
     """A priority queue of (rank, position) with ranks below a fixed bound; empty between pre-tokens.
 
-    Bit ``r`` of the low level: bucket ``r`` has entries; of the middle level: a word of the low level has bits; the top
-    level, one Python integer, has a bit for each word of the middle level.
+    Bit ``r`` of the low level: bucket ``r`` has entries; the top level has a bit for each word of the low level that has
+    bits. 256 bits a word make two levels reach for 65,536 ranks; more ranks only lengthen the top word.
     """
 
     def __init__(self, ranks: int):
         self.low = [0] * (-(-ranks // WORD))
-        self.middle = [0] * (-(-len(self.low) // WORD))
         self.buckets: dict[int, list[int]] = {}
 
 
@@ -48,10 +47,12 @@ class ByteBPE:
         self.queue = RankQueue(max(self.ranks.values()) + 1)
         self.split = splitter(pattern)
         self.words = _Cache(self._word)
-        self.digits = {r: str(r) for r in self.bytes_of}
+        #: Rank of each pair of bytes, -1 for none.
+        self.two = {(a, b): self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)}
+        self.bytes_by_text = {str(r): t for t, r in self.ranks.items()}
 
-    def _word(self, word: str) -> bytes:
-        return array("I", self.merge(word.encode("utf-8", "surrogatepass"))).tobytes()
+    def _word(self, word: str) -> str:
+        return ",".join(map(str, self.merge(word.encode("utf-8", "surrogatepass"))))
 
     def merge(self, data: bytes) -> list[int]:
         """The ranks of one pre-token's tokens. The queue's steps stand in line here: calls would take longer than they do."""
@@ -59,11 +60,21 @@ class ByteBPE:
         if (whole := get(data)) is not None:
             return [whole]
         queue = self.queue
-        low, middle, buckets, top = queue.low, queue.middle, queue.buckets, 0
+        low, buckets, top, bits = queue.low, queue.buckets, 0, _BITS
         # Node i stands for the token from byte i to end[i]; before[i] is the node to its left; pair[i] is the rank of
         # the pair that it begins, or -1.
         end, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        todo = list(range(n - 1))
+        for i, r in enumerate(map(self.two.__getitem__, zip(data, data[1:]))):
+            if r >= 0:
+                pair[i] = r
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    k = r >> 8
+                    low[k] |= bits[r & 255]
+                    top |= 1 << k
+        todo = []
         while True:
             for i in todo:  # pairs that came about
                 r = get(data[i : end[end[i]]], -1)
@@ -73,26 +84,23 @@ class ByteBPE:
                         heappush(buckets[r], i)
                     else:
                         buckets[r] = [i]
-                        k = r >> 6
-                        low[k] |= 1 << (r & 63)
-                        middle[k >> 6] |= 1 << (k & 63)
-                        top |= 1 << (k >> 6)
+                        k = r >> 8
+                        low[k] |= bits[r & 255]
+                        top |= 1 << k
             if not top:
                 break
-            j = (top & -top).bit_length() - 1
-            word = middle[j]
-            k = j << 6 | (word & -word).bit_length() - 1
+            k = (top & -top).bit_length() - 1
             word = low[k]
-            r = k << 6 | (word & -word).bit_length() - 1
+            r = k << 8 | (word & -word).bit_length() - 1
             bucket = buckets[r]
-            i = heappop(bucket)
-            if not bucket:
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
                 del buckets[r]
-                low[k] &= ~(1 << (r & 63))
-                if not low[k]:
-                    middle[j] &= ~(1 << (k & 63))
-                    if not middle[j]:
-                        top &= ~(1 << j)
+                low[k] = word = word & (word - 1)
+                if not word:
+                    top &= top - 1
             todo = []
             if pair[i] != r:
                 continue  # stale
@@ -110,14 +118,19 @@ class ByteBPE:
             i = end[i]
         return out
 
+    def encode_text(self, text: str) -> str:
+        """The ids in decimal, joined by commas."""
+        return ",".join(map(self.words.__getitem__, self.split(text)))
+
     def encode(self, text: str) -> list[int]:
-        found = array("I")
-        found.frombytes(b"".join(map(self.words.__getitem__, self.split(text))))
-        return found.tolist()
+        return [int(x) for x in self.encode_text(text).split(",")] if text else []
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def decode_text(self, ids: str) -> bytes:
+        return b"".join(map(self.bytes_by_text.__getitem__, ids.split(","))) if ids else b""
+
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> ByteBPE:
@@ -135,17 +148,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        digits = c.digits.__getitem__
         for batch in batches:
             for part in slices(batch, 1):
                 counts, first, second, kept = [], [], [], []
                 for text in texts_of(part, 1):
-                    ids = c.encode(text)
-                    counts.append(len(ids))
-                    first.append(hashlib.sha256(",".join(map(digits, ids)).encode()).hexdigest())
-                    second.append(hashlib.sha256(c.decode(ids)).hexdigest())
+                    ids = c.encode_text(text)
+                    counts.append(ids.count(",") + 1 if ids else 0)
+                    first.append(hashlib.sha256(ids.encode()).hexdigest())
+                    second.append(hashlib.sha256(c.decode_text(ids)).hexdigest())
                     if with_ids:
-                        kept.append(ids)
+                        kept.append([int(x) for x in ids.split(",")] if ids else [])
                 columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:

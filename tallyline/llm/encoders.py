@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 500_000
 LONGEST_CACHED = 64
 
 
@@ -47,16 +47,20 @@ def splitter(pattern: str):
 
 
 class _Cache(dict):
-    """Pre-token -> value; emptied when full, so memory stays bounded."""
+    """Pre-token -> value in two generations: when the young one is full it becomes the old one, from which words in use
+    come back, so memory stays bounded and frequent words stay known."""
 
     def __init__(self, make, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.make, self.entries = make, entries
+        self.make, self.entries, self.old = make, entries, {}
 
     def __missing__(self, word: str):
-        value = self.make(word)
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
         if len(word) <= LONGEST_CACHED:
             if len(self) >= self.entries:
+                self.old = dict(self)
                 self.clear()
             self[word] = value
         return value
