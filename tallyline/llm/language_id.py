@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 from tallyline.llm.common import bounded_sample, fresh, plus, slices, texts_of
 
 MAX_DOCS = 3000
-MAX_WORDS, MAX_GRAMS = 60_000, 60_000
+MAX_WORDS, MAX_GRAMS = 30_000, 30_000
 ORDERS = (5, 4, 3, 2, 1)
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 _words = re.compile(r"[^\W\d_]+").findall
 
 
