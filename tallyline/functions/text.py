@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _INVISIBLE = r"[\p{Cf}\u200B-\u200D\u2060\uFEFF\u00AD\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 _SPACES = r"[\p{Zs}\t]"
@@ -19,12 +20,12 @@ PUNCTUATION_FROM = "‘’‚‛′“”„‟″‐‑‒–—―−"
 PUNCTUATION_TO = "'''''\"\"\"\"\"-------"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x.isascii() else unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _folded(s: pd.Series) -> pd.Series:
     return s.map(str.casefold, na_action="ignore")
 

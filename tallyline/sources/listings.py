@@ -7,15 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-FILE_SCHEMA = T.StructType.fromDDL(
-    "id string, name string, mimeType string, parents array<string>, modifiedTime string, createdTime string, size string, md5Checksum string, version long, trashed boolean,"
+FILE = (
+    "struct<id string, name string, mimeType string, parents array<string>, modifiedTime string, createdTime string, size string, md5Checksum string, version bigint, trashed boolean,"
     " driveId string, owners array<struct<emailAddress string>>, shortcutDetails struct<targetId string, targetMimeType string>, webViewLink string,"
-    " capabilities struct<canDownload boolean>, sharedWithMeTime string"
+    " capabilities struct<canDownload boolean>, sharedWithMeTime string>"
 )
-PAGE_SCHEMA = T.StructType.fromDDL(f"corpus string, page int, pageToken string, nextPageToken string, incompleteSearch boolean, files array<{FILE_SCHEMA.simpleString()}>")
-CHANGE_SCHEMA = T.StructType.fromDDL(f"changeType string, time string, removed boolean, fileId string, driveId string, file {FILE_SCHEMA.simpleString()}")
+PAGE_SCHEMA = f"corpus string, page int, pageToken string, nextPageToken string, incompleteSearch boolean, files array<{FILE}>"
+CHANGE_SCHEMA = f"changeType string, time string, removed boolean, fileId string, driveId string, file {FILE}"
 MAX_CHANGE_PAGES = 200
 
 
