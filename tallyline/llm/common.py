@@ -28,6 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB for this session: a worker and its JVM hold several at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tallyline/{tag}-{uuid.uuid4().hex}"
 

@@ -69,7 +69,7 @@ class _Cache(dict):
 class CachedEncoder:
     """``encode(text)`` gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         import public_tokenizers
@@ -81,7 +81,7 @@ class CachedEncoder:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache = _Cache(self._word)
+        self.cache = _Cache(self._word, entries)
         self.normalize = self._plain
         before = spec["pre_tokenizer"] or {}
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])] if spec["normalizer"] else []
@@ -128,6 +128,6 @@ class CachedEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> CachedEncoder:
-    """One encoder for each file and Python worker."""
-    return CachedEncoder(path)
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> CachedEncoder:
+    """One encoder for each file, cache bound and Python worker."""
+    return CachedEncoder(path, entries)

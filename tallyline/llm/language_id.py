@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyline.llm.common import bounded_sample, fresh, plus, slices, texts_of
+from tallyline.llm.common import bounded_sample, fresh, plus, slices, small_batches, texts_of
 
 MAX_DOCS = 3000
 MAX_WORDS, MAX_GRAMS = 30_000, 30_000
@@ -162,6 +162,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", la
                     values.append(float(1 / np.exp(total).sum()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(values, pa.float64())], [*part.schema.names, lang_out, score_out])
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

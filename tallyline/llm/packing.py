@@ -24,11 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import slices
+from tallyline.llm.common import slices, small_batches
 from tallyline.llm.encoders import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 BLOCK_TOKENS = 1 << 18
+CACHED_WORDS = 200_000  # packing comes last in a pipeline, whose workers hold other stages' memory already
 SENTENCE_PENALTY, TOKEN_PENALTY, SEQUENCE_COST, GRID, FULL = 1.0, 3.0, 8.0, 128, 4
 
 
@@ -151,7 +152,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = 2048, id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(tokenizer)
+        e = encoder(tokenizer, CACHED_WORDS)
         tail = np.array([end_id], e.dtype).tobytes()
         packer = Packer(_sentence_ends(tokenizer), length, TaskContext.get().partitionId() << 33)
         names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -167,4 +168,5 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = 2048, id
         if pieces := packer.pack(True):
             yield rows(pieces)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)
