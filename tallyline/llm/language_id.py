@@ -26,7 +26,7 @@ from tallyline.llm.common import bounded_sample, fresh, plus, slices, small_batc
 MAX_DOCS = 3000
 MAX_WORDS, MAX_GRAMS = 30_000, 30_000
 ORDERS = (5, 4, 3, 2, 1)
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 _words = re.compile(r"[^\W\d_]+").findall
 
 
