@@ -10,12 +10,13 @@
    Two texts agree on a sample with the probability of their weighted Jaccard similarity.
 4. Samples are banded. Texts with equal keys are one representative; representatives that share a band's bucket are
    candidates. A bucket of at most ``SMALL`` is compared in full. In a larger one all are compared with its most
-   central text. What has no link to it meets the bucket's members that share a finer bucket (of three further samples):
-   small finer buckets are compared in full, in larger ones it meets the most central text, then growing parts of the
-   bucket until it has a link or has met every member, but for those whose total weights differ too much or that agree
-   on too few of 512 further samples. So texts that link to a common hub, and are in one class already, are not
-   paired with each other; other members of a large bucket go unpaired only if they agree on none of nine triples of
-   samples, which at the threshold happens to 0.2 % of pairs, for each of the bands.
+   central text. After each round all links so far are joined into classes, and only pairs of different classes
+   are tried further: those that share a finer bucket (of three further samples). Small finer buckets are compared in
+   full; in larger ones a text meets the most central one, then growing parts of the bucket until it has met every
+   member that is not in its class, but for those whose total weights differ too much or that agree on too few of 512
+   further samples. So texts of one class are not paired again, whatever hubs joined them; other members of a large
+   bucket go unpaired only if they agree on none of nine triples of samples, which at the threshold happens to
+   0.2 % of pairs, for each of the bands.
 5. Candidates are verified by the exact weighted Jaccard similarity of the stored multisets; verified links
    are joined into classes by label propagation with pointer jumping.
 """
@@ -324,7 +325,7 @@ def links(members: DataFrame, signed: DataFrame, table: DataFrame, weights: Weig
     active = attach(members, ["bucket"], materialize(buckets, "buckets"), "n", F.col("rid")).where(F.col("n").isNotNull())
     active = materialize(active, "active")
     search = _Search(table, weights, threshold)
-    few = active.where(F.col("n") <= SMALL).select("bucket", "rid", F.lit(True).alias("open"))
+    few = active.where(F.col("n") <= SMALL).select("bucket", "rid", F.col("rid").alias("label"))
     search.try_pairs(_all_pairs(few))
     # In a large bucket, a text in many and large buckets lies in the middle of its likes: it is the first hub.
     central = active.groupBy("rid").agg(F.sum("n").alias("central"))
@@ -332,42 +333,49 @@ def links(members: DataFrame, signed: DataFrame, table: DataFrame, weights: Weig
     pool = materialize(active.where(F.col("n") > SMALL).join(central, "rid").join(info, "rid").select("bucket", "band", "rid", "central", "weight", "sketch"), "pool")
     if not pool.limit(1).count():
         return search.edges
-    left = search.meet_hubs(_central(pool), pool.select("bucket", "rid", "weight", "sketch"), fine=False)
-    # What the hub did not take shares less with it; finer buckets within the bucket part such texts further.
-    waiting = pool.join(left.select("bucket").distinct(), "bucket", "left_semi").join(left.select("bucket", "rid", F.lit(True).alias("open")), ["bucket", "rid"], "left")
+    hubs = materialize(_central(pool), "central")
+    search.meet_hubs(hubs, pool, fine=False)
+    # What is not in the hub's class shares less with it; finer buckets within the bucket part such texts further.
+    waiting = search.apart(pool.join(hubs.select("bucket", F.col("rid").alias("home")), "bucket"))
     apart = F.filter(
         F.sequence(F.lit(0), F.lit(TRIPLES - 1)),
         lambda j: (F.floor(j / ROWS) != F.col("band")) & (F.floor((j + TRIPLES) / ROWS) != F.col("band")) & (F.floor((j + 2 * TRIPLES) / ROWS) != F.col("band")),
     )
     keys = F.transform(apart, lambda j: F.xxhash64(F.col("bucket"), j, F.element_at("triples", j + 1)))
-    finer = waiting.join(signed.select("rid", "triples"), "rid").select(F.explode(keys).alias("bucket"), "rid", "central", "weight", F.coalesce("open", F.lit(False)).alias("open"))
-    sizes = finer.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where((F.col("n") > 1) & F.col("any")).drop("any")
-    finer = attach(finer, ["bucket"], materialize(sizes, "buckets"), "n", F.col("rid")).where(F.col("n").isNotNull())
-    finer = materialize(finer, "finer")
+    finer = waiting.join(signed.select("rid", "triples"), "rid").select(F.explode(keys).alias("bucket"), "rid", "central", "weight", "label")
+    sizes = finer.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "label"))["label"].alias("home"))
+    sizes = materialize(sizes.where(F.col("classes") > 1).drop("classes"), "buckets")
+    finer = materialize(attach(finer, ["bucket"], sizes, "n", F.col("rid")).where(F.col("n").isNotNull()), "finer")
     search.try_pairs(_all_pairs(finer.where(F.col("n") <= SMALL)))
-    large = finer.where(F.col("n") > SMALL).select("bucket", "rid", "central", "weight", "open")
+    large = finer.where(F.col("n") > SMALL).select("bucket", "rid", "central", "weight", "home")
     bits = bit_sketches(table, materialize(large.select("rid").distinct(), "large"), weights)
-    large = materialize(large.join(materialize(bits, "bits"), "rid"), "large")
-    pool = large.select("bucket", "rid", "central", "weight", F.col("bits").alias("sketch"))
-    left = materialize(large.where("open").select("bucket", "rid", "weight", F.col("bits").alias("sketch")), "left")
-    left = search.meet_hubs(_central(pool), left)
-    part = F.pmod(F.xxhash64("rid"), F.lit(HUB_PARTS[-1]))
+    part = F.pmod(F.xxhash64("rid"), F.lit(HUB_PARTS[-1])).alias("part")
+    large = materialize(large.join(materialize(bits, "bits"), "rid").select("bucket", "rid", "central", "weight", F.col("bits").alias("sketch"), "home", part), "large")
+    left = search.apart(large)
+    search.meet_hubs(_central(left), left.where("open"))
     for low, high in zip((0, *HUB_PARTS), HUB_PARTS):
-        left = search.meet_hubs(pool.where((part >= low) & (part < high)), left)
+        left = search.apart(left)
+        if not left.limit(1).count():
+            break
+        # Pairs of open texts were tried, or in one class, when the earlier of them was a hub: what is open once was open before.
+        first = ~F.col("h_open") | (F.col("part") >= high) | ((F.col("part") >= low) & (F.col("rid") < F.col("hub")))
+        search.meet_hubs(left.where((F.col("part") >= low) & (F.col("part") < high)), left.where("open"), first)
     return search.edges
 
 
 def _central(pool: DataFrame) -> DataFrame:
-    """The most central text of each bucket."""
-    best = pool.groupBy("bucket").agg(F.max(F.struct("central", "rid", "weight", "sketch")).alias("h"))
-    return best.select("bucket", "h.rid", "h.weight", "h.sketch")
+    """The most central text of each bucket, with the pool's columns."""
+    rest = [c for c in pool.columns if c not in ("bucket", "central", "rid")]
+    best = pool.groupBy("bucket").agg(F.max(F.struct("central", "rid", *rest)).alias("h"))
+    return best.select("bucket", *(F.col(f"h.{c}").alias(c) for c in ("central", "rid", *rest)))
 
 
 def _all_pairs(members: DataFrame) -> DataFrame:
-    """Pairs a < b within buckets of at most SMALL members, at least one of them open."""
-    left = members.select("bucket", F.col("rid").alias("a"), F.col("open").alias("o"))
-    right = members.select("bucket", F.col("rid").alias("b"), F.col("open").alias("p"))
-    return left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("o") | F.col("p"))).select("a", "b")
+    """Pairs a < b of different labels within buckets of at most SMALL members."""
+    left = members.select("bucket", F.col("rid").alias("a"), F.col("label").alias("l"))
+    right = members.select("bucket", F.col("rid").alias("b"), F.col("label").alias("m"))
+    return left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("l") != F.col("m"))).select("a", "b")
 
 
 class _Search:
@@ -383,23 +391,34 @@ class _Search:
         self.tried = pairs if self.tried is None else materialize(self.tried.unionByName(pairs), "tried")
         self.edges = found if self.edges is None else materialize(self.edges.unionByName(found), "links")
 
-    def meet_hubs(self, hubs: DataFrame, left: DataFrame, fine: bool = True) -> DataFrame:
-        """Compare what is left in each bucket with the bucket's hubs; returns what still has no link to one of them."""
+    def apart(self, members: DataFrame) -> DataFrame:
+        """The members of buckets that hold texts of different classes, by the links so far.
+
+        ``label`` is a text's class; a text is ``open`` while it is not in the class of the text ``home``, one for each bucket.
+        """
+        labels = materialize(components(self.edges), "classes")
+        members = members.select(*(c for c in members.columns if c not in ("label", "home_label", "open")))
+        members = members.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+        homes = labels.select(F.col("rid").alias("home"), F.col("label").alias("home_label"))
+        members = members.join(homes, "home", "left").withColumn("home_label", F.coalesce("home_label", "home"))
+        members = materialize(members.withColumn("open", F.col("label") != F.col("home_label")).drop("home_label"), "labelled")
+        return materialize(members.join(members.where("open").select("bucket").distinct(), "bucket", "left_semi"), "apart")
+
+    def meet_hubs(self, hubs: DataFrame, left: DataFrame, first: Column | None = None, fine: bool = True) -> None:
+        """Compare what is left in each bucket with the bucket's hubs, but for those of its class."""
+        taken = ("bucket", "rid", "weight", "sketch", "label", "open")
         hubs = hubs.join(left.select("bucket").distinct(), "bucket", "left_semi")
-        hubs = hubs.select(F.col("bucket").alias("h_bucket"), F.col("rid").alias("hub"), F.col("weight").alias("h_weight"), F.col("sketch").alias("h_sketch"))
+        hubs = hubs.select(*(F.col(c).alias("hub" if c == "rid" else f"h_{c}") for c in taken if c in hubs.columns))
         hubs = materialize(hubs, "hubs")
         # A similarity is at most the lighter text's weight over the heavier's, and shows in the samples' agreement.
         alike = F.least("weight", "h_weight") >= self.threshold * F.greatest("weight", "h_weight") * 0.999999
         if fine:
-            agree = _bits_agree("sketch", "h_sketch") >= FURTHER_AGREEING
+            agree = (_bits_agree("sketch", "h_sketch") >= FURTHER_AGREEING) & (F.col("label") != F.col("h_label"))
         else:
             agree = F.size(F.filter(F.zip_with("sketch", "h_sketch", lambda x, y: x == y), lambda x: x)) >= AGREEING
-        pairs = left.join(hubs, (F.col("bucket") == F.col("h_bucket")) & (F.col("rid") != F.col("hub")) & alike & agree)
-        hubs = hubs.select(F.col("h_bucket").alias("bucket"), "hub")
+        fits = alike & agree if first is None else first & alike & agree
+        pairs = left.join(hubs, (F.col("bucket") == F.col("h_bucket")) & (F.col("rid") != F.col("hub")) & fits)
         self.try_pairs(pairs.select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")))
-        linked = self.edges.select("a", "b").unionByName(self.edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        taken = linked.join(hubs.select(F.col("hub").alias("a"), "bucket"), "a").select("bucket", F.col("b").alias("rid")).distinct()
-        return materialize(left.join(taken, ["bucket", "rid"], "left_anti"), "left")
 
 
 def components(edges: DataFrame) -> DataFrame:

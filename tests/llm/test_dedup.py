@@ -152,3 +152,33 @@ def test_repeated_and_null_ids(spark):
     spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (None, None)], "doc_id long, text string").coalesce(1).write.parquet(path)
     got = near_dedup.near_duplicates(spark.read.parquet(path)).collect()
     assert sorted((r["class_size"], r["kept"], str(r["class_id"])) for r in got) == [(1, True, "None"), (3, False, "5"), (3, False, "5"), (3, True, "5")]
+
+
+def test_bridge_between_families_of_a_large_bucket(spark):
+    """Two families in one bucket, each linked to its own hub, and a single link between them."""
+    parts = defaultdict(list)
+    for r in spark.range(2000).select("id", F.pmod(F.xxhash64("id"), F.lit(near_dedup.HUB_PARTS[-1])).alias("p")).collect():
+        parts["first" if r["p"] < near_dedup.HUB_PARTS[0] else "last" if r["p"] >= near_dedup.HUB_PARTS[-2] else ""].append(r["id"])
+    rng = np.random.default_rng(3)
+    edited = lambda s, n: np.concatenate([rng.permutation(s)[n:], rng.integers(0, 1 << 31, n)]).astype(np.int32)
+    h = rng.choice(1 << 31, 1000, replace=False).astype(np.int32)
+    c = edited(h, 100)
+    d = np.concatenate([h[np.isin(h, c)][100:], np.setdiff1d(c, h), rng.integers(0, 1 << 31, 100)]).astype(np.int32)
+    e = np.concatenate([h[np.isin(h, d)][100:], np.setdiff1d(d, h), rng.integers(0, 1 << 31, 100)]).astype(np.int32)
+    sets = {parts["last"][0]: c, parts["last"][1]: d}
+    sets |= {i: edited(e, 3) for i in [parts["first"][0], *parts["last"][2:10]]}
+    sets |= {i: edited(h, 3) for i in parts["last"][-10:]}  # the most central text, by its number, is one of these
+    rows = [(int(i), sorted(x.tolist())) for i, x in sets.items()]
+    path = scratch_path(spark, "test-sets")
+    spark.createDataFrame(rows, "rid long, shingles array<int>").write.parquet(path)
+    table = spark.read.parquet(path)
+    weights = near_dedup.Weights({}, len(rows), near_dedup.FLOOR)
+    signed = near_dedup.signature_table(table, weights).withColumn("triples", F.array_repeat(F.lit(1).cast("long"), near_dedup.TRIPLES))
+    members = signed.select(F.lit(1).cast("long").alias("bucket"), F.lit(0).alias("band"), "rid")
+    links = near_dedup.links(members, signed, table, weights)
+    got = {(r["a"], r["b"]) for r in links.collect()}
+    sim = lambda a, b: weights.similarity(np.sort(sets[a]), np.sort(sets[b]))
+    home, away = parts["last"][-10:], [parts["first"][0], *parts["last"][2:10]]
+    bridges = [(a, b) for a in [*home, parts["last"][0]] for b in [*away, parts["last"][1]] if sim(a, b) >= near_dedup.THRESHOLD]
+    assert bridges == [(parts["last"][0], parts["last"][1])] and bridges[0] in got
+    assert {r["label"] for r in near_dedup.components(links).collect()} == {min(sets)}
