@@ -103,10 +103,14 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """(rid, doc_id, keep_id, group_size, kept, text_sha256) of every row.
 
     Of equal texts the row with the smallest id stays (null ids last; of equal ids the first row read). ``rid`` numbers
-    the rows as they are scanned, so ``docs`` must come from a table. Null and empty texts are equal; repeated rows form
+    the rows as they are scanned, once: the numbered rows are stored. Null and empty texts are equal; repeated rows form
     a group; an empty table gives an empty one; other columns are not read.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _dedup(materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "numbered"))
+
+
+def _dedup(rows: DataFrame) -> DataFrame:
+    """``dedup`` of a stored table (rid, doc_id, text)."""
     names = identities(rows)
     keys = materialize(rows.select("rid", "doc_id", F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("text_sha256")).join(names, "rid"), "identities")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
@@ -128,6 +132,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``dedup`` doesn't keep; columns as they were."""
     rid = fresh(docs.columns, "rid")
-    kept = dedup(docs, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col("rid").alias("gone"))
-    numbered = docs.withColumn(rid, F.monotonically_increasing_id())
-    return numbered.join(kept, numbered[rid] == kept["gone"], "left_anti").drop(rid)
+    numbered = materialize(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col(rid).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    gone = _dedup(rows).where(~F.col("kept")).select(F.col("rid").alias("gone"))
+    return numbered.join(gone, numbered[rid] == gone["gone"], "left_anti").drop(rid)

@@ -128,8 +128,8 @@ class Shingler:
         return int(halves[0]), int(halves[1]), found
 
 
-def shingle_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def shingle_table(docs: DataFrame, id_col: str, text_col: str, rid: Column | None = None) -> DataFrame:
+    rows = docs.select((F.monotonically_increasing_id() if rid is None else rid).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -444,10 +444,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     copies (equal words). ``class_id`` is the smallest doc_id in it, ``kept`` marks one row, that of the smallest id
     (null ids last; of equal ids the first row read); ``n_links`` counts the verified links of the row's text to
     different texts. Texts without words (null, empty) are copies of each other. Repeated rows are copies; an empty
-    table gives an empty one; other columns are not read. ``docs`` must come from a table.
+    table gives an empty one; other columns are not read. The rows are numbered once, in the stored table of shingles.
     """
+    return _near_duplicates(docs, id_col, text_col, threshold, floor)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, floor: float = FLOOR, rid: Column | None = None) -> DataFrame:
     small_batches(docs.sparkSession)
-    table = materialize(shingle_table(docs, id_col, text_col), "shingles")
+    table = materialize(shingle_table(docs, id_col, text_col, rid), "shingles")
     documents = table.count()
     weights = Weights(frequent_shingles(table, documents, floor) if documents else {}, documents, floor)
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
@@ -475,6 +479,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class; columns as they were."""
     rid = fresh(docs.columns, "rid")
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col("rid").alias("gone"))
-    numbered = docs.withColumn(rid, F.monotonically_increasing_id())
+    numbered = materialize(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    gone = _near_duplicates(numbered, id_col, text_col, rid=F.col(rid)).where(~F.col("kept")).select(F.col("rid").alias("gone"))
     return numbered.join(gone, numbered[rid] == gone["gone"], "left_anti").drop(rid)

@@ -182,3 +182,18 @@ def test_bridge_between_families_of_a_large_bucket(spark):
     bridges = [(a, b) for a in [*home, parts["last"][0]] for b in [*away, parts["last"][1]] if sim(a, b) >= near_dedup.THRESHOLD]
     assert bridges == [(parts["last"][0], parts["last"][1])] and bridges[0] in got
     assert {r["label"] for r in near_dedup.components(links).collect()} == {min(sets)}
+
+
+def test_rows_are_numbered_once(spark):
+    """The scan's splits differ between jobs, as after the loss of an executor."""
+    texts = [f"the text number {i // 2} of many texts" for i in range(24)]
+    path = scratch_path(spark, "test-docs")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4, "doc_id").write.parquet(path)
+    docs = spark.read.parquet(path)
+    kept = exact_dedup.drop_duplicates(docs)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        assert docs.rdd.getNumPartitions() == 1
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 24, 2))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
