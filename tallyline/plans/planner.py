@@ -101,12 +101,13 @@ def is_resolvable(token: Column) -> Column:
 def with_sequence(actions: DataFrame) -> DataFrame:
     """Ordered by kind, then by identity; ``position`` and ``batch_index`` (200 actions a batch) without one global sort task.
 
-    Positions come from sorted partitions and their counts; only a count for each partition comes to the driver.
+    Positions come from sorted partitions and their counts, both of one stored table, as ranges differ between executions;
+    only a count for each partition comes to the driver.
     """
     order = F.create_map(*(F.lit(x) for k, v in tx.ACTION_SEQUENCE.items() for x in (k, v)))
     out = actions.withColumn("sequence", F.element_at(order, F.col("action")))
     ranged = out.repartitionByRange("sequence", "key", "rid", "lid").sortWithinPartitions("sequence", "key", "rid", "lid")
-    numbered = ranged.withColumn("__m", F.monotonically_increasing_id())
+    numbered = store(ranged.withColumn("__m", F.monotonically_increasing_id()), "plan-sequence")
     counts = {r["p"]: r["n"] for r in numbered.groupBy(F.shiftright("__m", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, total = {}, 0
     for p in sorted(counts):

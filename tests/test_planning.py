@@ -145,3 +145,16 @@ def test_domain(spark):
     assert pick([("n", ">", 1), ("s", "!=", "b")]) == [3]
     assert pick(["|", ("n", "=", 1), ("s", "=", None)]) == [1, 3]
     assert pick(["!", ("s", "in", ["a", "b"])]) == [3]
+
+
+def test_positions_when_ranges_differ_between_executions(spark):
+    rows = spark.range(1000).select(F.lit("update").alias("action"), *(F.col("id").cast("string").alias(c) for c in ("key", "lid", "rid")))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = planner.with_sequence(rows)
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        assert sorted(r["position"] for r in out.select("position").collect()) == list(range(1000))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
