@@ -11,15 +11,15 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache
 from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import slices, texts_of
-from tallyline.llm.encoders import _Cache, splitter
+from tallyline.llm.common import lean, resident, slices, small_batches, texts_of
+from tallyline.llm.encoders import _Cache, aligned, differing, every_character, splitter
 
 WORD = 256  # bits of a bitmap word (a Python integer)
 _BITS = [1 << i for i in range(WORD)]
@@ -37,6 +37,18 @@ class RankQueue:
         self.buckets: dict[int, list[int]] = {}
 
 
+@cache
+def _differing() -> dict[int, int]:
+    import tiktoken
+
+    def members(kind: str) -> frozenset[str]:
+        pattern = rf"\p{{{kind}}}+" if kind else r"[^\s\p{L}\p{N}]+"
+        single = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        return frozenset(bytes(single.encode_ordinary(every_character())).decode())
+
+    return differing(members)
+
+
 class ByteBPE:
     """Encoder and decoder of a rank file (base64 token and rank a line)."""
 
@@ -45,7 +57,7 @@ class ByteBPE:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.queue = RankQueue(max(self.ranks.values()) + 1)
-        self.split = splitter(pattern)
+        self.split = splitter(pattern, aligned(pattern, _differing))
         self.words = _Cache(self._word)
         #: Rank of each pair of bytes, -1 for none.
         self.two = {(a, b): self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)}
@@ -132,9 +144,9 @@ class ByteBPE:
         return b"".join(map(self.bytes_by_text.__getitem__, ids.split(","))) if ids else b""
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> ByteBPE:
-    return ByteBPE(path, pattern)
+    """The Python worker's codec for a rank file."""
+    return resident(("codec", path), lambda: ByteBPE(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -165,4 +177,5 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run, keeps=True), schema)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,13 +19,55 @@ from pyspark.sql import types as T
 SLICE_BYTES = 4 << 20
 
 
+_resident: dict[Hashable, Any] = {}
+
+
+def trim() -> None:
+    """Give freed memory back to the system: Python's arenas, Arrow's pool, the C heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def resident(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The large table that a Python worker keeps between tasks: one at a time.
+
+    Workers outlive stages. A stage that asks for another table drops the one before it, so memory doesn't add up
+    over the stages of a session; the tasks of one stage share theirs.
+    """
+    if key not in _resident:
+        _resident.clear()
+        trim()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, which leaves no memory behind when a task ends (with ``keeps``, its resident table alone)."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _resident.clear()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, one machine) a temporary folder is made and set.
+    Where the setting is absent on one machine (tests), a temporary folder is made and set; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tallyline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -129,6 +174,8 @@ def attach(left: DataFrame, on: list[str], right: DataFrame, count: str, spread:
             out = out & (F.col(c) == F.col(f"_{side}_{c}"))
         return out
 
+    if clash := {c for c in left.columns if c.startswith(("_h_", "_c_", "_salt"))}:
+        raise ValueError(f"reserved names: {sorted(clash)}")
     out = left.join(F.broadcast(hots), same("h"), "left")
     out = out.withColumn("_salt", F.when(F.col(f"_h_{on[0]}").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1).otherwise(F.lit(0).cast("long")))
     out = out.join(colds, same("c") & (F.col("_salt") == F.col("_c_salt")), "left")

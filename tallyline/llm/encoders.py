@@ -2,18 +2,22 @@
 
 A ``tokenizers`` BPE pipeline works on pre-tokens independently of each other, so a text's ids are its
 pre-tokens' ids in a row. ``CachedEncoder`` splits with the pipeline's own pattern, asks the library once for
-each new pre-token, and remembers the answer within a bounded dictionary.
+each new pre-token, and remembers the answer within a bounded dictionary. A text with characters that Python's
+tables and the library's may treat differently goes to the library whole.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
+from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import regex
 
+from tallyline.llm.common import resident
+
 CACHE_ENTRIES = 500_000
 LONGEST_CACHED = 64
 
@@ -22,11 +26,76 @@ LONGEST_CACHED = 64
 _LATIN = {"L": "A-Za-zªµºÀ-ÖØ-öø-ÿ", "N": "0-9²³¹¼½¾", "s": " \\t-\\r\\x85\\xa0"}
 
 
-def splitter(pattern: str):
-    """``findall`` of a pre-token pattern; texts within Latin-1 go to the faster ``re`` with spelled-out classes."""
+#: Blocks in which all characters in normal form C have the same class, case and normal form in all Unicode versions since 6
+#: (fixed values): Latin, Greek, Cyrillic, punctuation and currency, kana, unified ideographs, Hangul syllables.
+SETTLED = (
+    (0x0000, 0x024F), (0x0386, 0x03FF), (0x0400, 0x0482), (0x048A, 0x0523), (0x2010, 0x2027), (0x2030, 0x205E), (0x20AC, 0x20AC), (0x3001, 0x3020),
+    (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+)
+
+
+@cache
+def settled() -> Callable[[str], object]:
+    """Truthy for a text whose characters are all starters in normal form C of the ``SETTLED`` blocks: it stays as it is under NFC."""
+    import re
+
+    plain = lambda c: unicodedata.is_normalized("NFC", c) and not unicodedata.combining(c) and unicodedata.category(c) != "Cn"
+    kept = [c for low, high in SETTLED for c in map(chr, range(low, high + 1)) if plain(c)]
+    runs: list[list[int]] = []
+    for c in map(ord, kept):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]*").fullmatch
+
+
+#: Classes of characters: the library's name, a member that no version doubts, the pattern of ``regex``.
+_CLASSES = {"L": (r"\p{L}", "a"), "N": (r"\p{N}", "1"), "": (r"[^\s\p{L}\p{N}]", "!")}
+
+
+def every_character() -> str:
+    return "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+
+
+@cache
+def library_class(kind: str) -> frozenset[str]:
+    """The characters of a class by the tables of the ``tokenizers`` library."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    return frozenset("".join(x for x, _ in Split(Regex(_CLASSES[kind][0] + "+"), "removed", invert=True).pre_tokenize_str(every_character())))
+
+
+def differing(of_library: Callable[[str], frozenset[str]]) -> dict[int, int]:
+    """Characters that the ``regex`` module classes otherwise than a library, each to one that both class as the library does."""
+    every, out = every_character(), {}
+    for kind, (pattern, member) in _CLASSES.items():
+        out |= {ord(c): ord(member) for c in of_library(kind).difference(regex.findall(pattern, every))}
+    return out
+
+
+@cache
+def _differing() -> dict[int, int]:
+    return differing(library_class)
+
+
+def aligned(pattern: str, table: Callable[[], dict[int, int]]) -> Callable[[str], list[str]]:
+    """``findall`` of the pattern by a library's classes: the text is split as if its differing characters were others of their class."""
+    find = regex.compile(pattern).finditer
+
+    def split(text: str) -> list[str]:
+        seen = text.translate(table())
+        return [text[m.start() : m.end()] for m in find(seen)]
+
+    return split
+
+
+def splitter(pattern: str, full: Callable[[str], list[str]] | None = None):
+    """``findall`` of a pre-token pattern; texts within Latin-1 go to the faster ``re`` with spelled-out classes, others to ``full``."""
     import re
 
-    full = regex.compile(pattern).findall
+    full = full or regex.compile(pattern).findall
     latin = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{_LATIN['s']}{_LATIN['L']}{_LATIN['N']}]")
     for name in "LN":
         latin = latin.replace(rf"[\p{{{name}}}]", f"[{_LATIN[name]}]").replace(rf"\p{{{name}}}", f"[{_LATIN[name]}]")
@@ -82,14 +151,14 @@ class CachedEncoder:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache = _Cache(self._word, entries)
-        self.normalize = self._plain
+        self.normalize, self.fits = self._plain, None
         before = spec["pre_tokenizer"] or {}
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])] if spec["normalizer"] else []
         if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not kinds:
-            self.split = splitter(public_tokenizers.PATTERN)
+            self.split = splitter(public_tokenizers.PATTERN, aligned(public_tokenizers.PATTERN, _differing))
         elif before.get("type") == "Sequence" and kinds == ["NFC", "Replace", "Lowercase"]:
             self.split = splitter(before["pretokenizers"][0]["pattern"]["Regex"])
-            self.normalize = self._lower
+            self.normalize, self.fits = self._lower, settled()
         else:
             self.split = None  # another pipeline: the library does all
 
@@ -100,8 +169,7 @@ class CachedEncoder:
     @staticmethod
     def _lower(text: str) -> str:
         if not text.isascii():
-            # Character by character, as the library does: no final sigma.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = text.replace("Σ", "σ")  # character by character, as the library does: no final sigma
         return text.lower()
 
     def _word(self, word: str) -> bytes:
@@ -114,7 +182,7 @@ class CachedEncoder:
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian numbers of ``dtype``."""
-        if self.split is None:
+        if self.split is None or self.fits and not text.isascii() and not self.fits(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         if self.cut is not None and "<|" in text and len(parts := self.cut.split(text)) > 1:
             return b"".join(np.array([self.special[x]], self.dtype).tobytes() if i % 2 else self._segment(x) for i, x in enumerate(parts))
@@ -127,7 +195,6 @@ class CachedEncoder:
         return b"".join(map(self.cache.__getitem__, self.split(self.normalize(text))))
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, entries: int = CACHE_ENTRIES) -> CachedEncoder:
-    """One encoder for each file, cache bound and Python worker."""
-    return CachedEncoder(path, entries)
+    """The Python worker's encoder for a file and cache bound."""
+    return resident(("encoder", path, entries), lambda: CachedEncoder(path, entries))

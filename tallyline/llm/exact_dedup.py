@@ -5,8 +5,9 @@ ones, by sorting: rows are dealt to partitions by their block, sorted, and numbe
 adjacent names are paired and the pairs named in the same way, level by level, until each document has one name.
 Names stand for content by comparison, never by digest, so the identity is free of collisions.
 
-Blocks and pairs that hold more than a small share of all rows (at most ``HOT`` of them, by that share) are
-named on the driver and reach their rows by a broadcast, so that a large group of copies never meets in one task.
+Blocks and pairs that hold more than 1/``HOT`` of all rows of their level, so fewer than ``HOT`` of them, each of a
+block's size at most, are named on the driver and reach their rows by a broadcast: a large group of copies never meets
+in one task.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import attach, fresh, materialize, remove
+from tallyline.llm.common import attach, fresh, lean, materialize, remove
 
 BLOCK_BYTES = 4096
 HOT = 500
@@ -52,12 +53,12 @@ def _name(rows: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(names, pa.int64())], ["rid", "pos", "last", "name"])
 
     dealt = rows.select("rid", "pos", "last", key).repartition(key).sortWithinPartitions(key)
-    cold = dealt.mapInArrow(run, "rid long, pos int, last int, name long")
+    cold = dealt.mapInArrow(lean(run), "rid long, pos int, last int, name long")
     return cold if out is None else out.unionByName(cold)
 
 
 def _hot(rows: DataFrame, key: str, total: int) -> DataFrame | None:
-    """Keys of more than total/HOT rows, named in their order; found by a count of 8-byte hashes, confirmed by content."""
+    """Keys of more than total/HOT of the ``total`` rows, named in their order; found by a count of 8-byte hashes, confirmed by content."""
     least = total // HOT + 1
     h = F.xxhash64(key)
     hashes = [r[0] for r in rows.groupBy(h.alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("h").collect()]
@@ -78,13 +79,13 @@ def identities(docs: DataFrame, *, text_col: str = "text", block_bytes: int = BL
     blocks = base.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("last"))))
     blocks = blocks.select("rid", "pos", "last", F.call_function("substring", F.col("data"), F.col("pos") * block_bytes + 1, F.lit(block_bytes)).alias("key"))
     # A document's number of blocks is part of its last name, so equal names need equal lengths in blocks.
-    total = docs.count()
+    total = base.agg(F.sum(F.col("last") + 1)).first()[0] or 0
     named = materialize(_name(blocks, "key", _hot(blocks, "key", total)), "block-names")
     done, level = [], 0
     while True:
         done.append(named.where(F.col("last") == 0).select("rid", F.lit(level).alias("level"), "name"))
         rest = named.where(F.col("last") > 0)
-        total = rest.where(F.col("pos") == 0).count()
+        total = rest.where(F.col("pos") == 0).agg(F.sum(F.floor(F.col("last") / 2) + 1)).first()[0] or 0
         if not total:
             break
         pair = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"].cast("string")), ",")

@@ -2,9 +2,10 @@
 
 1. Every text becomes a sorted multiset of 32-bit hashes of its five-word shingles (words split at ASCII white space,
    lower-cased; a text of fewer words is one shingle) and a 128-bit key of its words. The table is stored.
-2. A shingle weighs its frequency in the text times ``1 + ln(documents / max(df, floor))``, with a floor at a share of
-   all documents (``FLOOR``). Frequencies above the floor are counted exactly over all documents: such a shingle
-   is above it in some chunk of documents, which gives candidates for the exact count.
+2. A shingle weighs its frequency in the text times ``1 + ln(documents / max(df, least))``. Document frequencies above
+   ``least`` are counted exactly over all documents; there are at most ``TABLE`` such shingles, since ``least`` is the
+   number of (text, shingle) pairs over ``TABLE`` (1 at least): at 300 shingles a text, 0.05 % of the texts. Below it the
+   IDF saturates. Up to some 2,000 texts of 300 shingles every frequency is exact.
 3. Consistent weighted sampling: for each sample k, a shingle's gamma variates r and c and its uniform beta come from its
    hash; with ``t = floor(ln w / r + beta)`` the sample is the (shingle, t) of the least ``c / exp(r (t - beta) + r)``.
    Two texts agree on a sample with the probability of their weighted Jaccard similarity.
@@ -28,16 +29,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import attach, fresh, materialize, slices, small_batches, texts_of
+from tallyline.llm.common import attach, fresh, lean, materialize, slices, small_batches, texts_of
 from tallyline.llm.encoders import _Cache
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 4
-FLOOR = 0.05
+TABLE = 600_000
 SMALL = 12
 #: Of 64 parts of a bucket by hash, the hubs of the rounds: 1, 4, 16, then all others.
 HUB_PARTS = (1, 5, 21, 64)
@@ -47,10 +49,12 @@ TRIPLES = BANDS * ROWS // 3
 #: mean at the threshold, so that 1 in 10,000 pairs at the threshold is missed here.
 AGREEING = 22
 #: In finer buckets, two bits of each of so many further samples, and how many must agree: at the threshold 85 % do, so the
-#: bound is three standard deviations lower: 1 in 1,000 pairs at the threshold is missed here, hardly any above it.
-FURTHER, FURTHER_AGREEING = 512, 410
+#: bound is four standard deviations lower: 1 in 30,000 pairs at the threshold is missed here, hardly any above it.
+FURTHER, FURTHER_AGREEING = 512, 402
 BROADCAST_IDS = 1_000_000
-CHUNK_SHINGLES = 1_000_000
+CHUNK_SHINGLES = 500_000
+#: Counters of all shingles, and the rows that carry them.
+SLOTS, SLOT_BLOCKS = 1 << 22, 64
 _U = np.uint64
 #: Odd multipliers of a multiplicative hash, by a fixed generator.
 _MULTIPLIERS = np.random.default_rng(20200101).integers(1 << 62, 1 << 63, 4096, dtype=np.uint64) | _U(1)
@@ -140,7 +144,7 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, rid: Column | Non
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), lists], ["rid", "doc_id", "k1", "k2", "shingles"])
 
-    return rows.mapInArrow(run, "rid long, doc_id long, k1 long, k2 long, shingles array<int>")
+    return rows.mapInArrow(lean(run), "rid long, doc_id long, k1 long, k2 long, shingles array<int>")
 
 
 def _parts(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -163,59 +167,95 @@ def _first_in_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return new
 
 
-def frequent_shingles(table: DataFrame, documents: int, floor: float) -> dict[int, int]:
-    """Exact document frequencies of the shingles in more than ``floor * documents`` documents.
+def _slot(values: np.ndarray) -> np.ndarray:
+    return _mix(values.view(np.uint32).astype(np.uint64) + _U(0x6A09E667F3BCC909)) & _U(SLOTS - 1)
 
-    There are at most (mean shingles a document) / floor of them, whatever the number of documents.
-    """
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs, size = [], 0, 0
+def _added(rows: DataFrame, *keys: str) -> DataFrame:
+    """The sum of the counters (binary, little-endian unsigned) of each key; sorted rows are added one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([_narrow(total)], pa.binary())], ["block", "counts"])
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts = np.frombuffer(counts, f"<u{len(counts) * SLOT_BLOCKS // SLOTS}").astype(np.uint64)
+                if block == at:
+                    total += counts
+                    continue
+                if total is not None:
+                    yield done()
+                at, total = block, counts
+        if total is not None:
+            yield done()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select("block", "counts").mapInArrow(lean(run), "block int, counts binary")
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    top = int(counts.max(initial=0))
+    return counts.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes()
+
 
-        def flush() -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(values[n > floor * docs])], ["shingle"])
+def frequent_shingles(table: DataFrame, least: float) -> dict[int, int]:
+    """Exact document frequencies of the shingles in more than ``least`` documents.
 
+    Shingles hash into ``SLOTS`` counters, which are added up over all documents; a slot's sum is an upper bound for each of its
+    shingles, so only those in slots above ``least`` are counted by themselves. The counters' size doesn't depend on the
+    corpus; with ``least`` = total / TABLE an average slot has a seventh of ``least``.
+    """
+    size = SLOTS // SLOT_BLOCKS
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """Each text's different shingles, for many texts at a time."""
         for batch in batches:
-            for i, j, values, offsets in _parts(batch, 0, CHUNK_SHINGLES):
-                held.append(values[_first_in_text(values, offsets)])
-                docs, size = docs + j - i, size + len(held[-1])
-                if size >= CHUNK_SHINGLES:
-                    yield flush()
-                    held, docs, size = [], 0, 0
-        if held:
-            yield flush()
-
-    found = table.select("shingles").mapInArrow(candidates, "shingle int").distinct().limit(BROADCAST_IDS + 1).collect()
-    least = floor * documents
-    if len(found) > BROADCAST_IDS:  # too many to send out: count all shingles
-        counts = table.select(F.explode(F.array_distinct("shingles")).alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-        return {r["shingle"]: r["df"] for r in counts.where(F.col("df") > least).collect()}
-    wanted = np.array(sorted(r[0] for r in found), np.int32)
-    if not len(wanted):
+            for _, _, values, offsets in _parts(batch, 0, CHUNK_SHINGLES):
+                yield values[_first_in_text(values, offsets)]
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.uint32)
+        for values in runs(batches):
+            at, n = np.unique(_slot(values), return_counts=True)
+            total[at] += n.astype(np.uint32)
+        salt = pa.array([TaskContext.get().partitionId()], pa.int32())
+        for block in range(SLOT_BLOCKS):
+            counts = total[block * size : (block + 1) * size]
+            if counts.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_narrow(counts)], pa.binary()), salt], ["block", "counts", "task"])
+
+    lists = table.select("shingles")
+    # Two steps, so that a task adds up the counters of a few hundred others.
+    parts = lists.mapInArrow(lean(slots), "block int, counts binary, task int").select("block", "counts", F.floor(F.col("task") / 64).alias("part"))
+    high = np.zeros(SLOTS, bool)
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(np.frombuffer(c, f"<u{len(c) // size}") > least).tobytes() for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["block", "bits"])
+
+    for r in _added(_added(parts, "block", "part"), "block").mapInArrow(lean(above), "block int, bits binary").collect():
+        high[r["block"] * size : (r["block"] + 1) * size] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    if not high.any():
         return {}
+    packed = np.packbits(high)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(wanted), np.int64)
-        for batch in batches:
-            for _, _, values, offsets in _parts(batch, 0, CHUNK_SHINGLES):
-                values = values[_first_in_text(values, offsets)]
-                at = np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)
-                total += np.bincount(at[wanted[at] == values], minlength=len(wanted))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(wanted[some]), pa.array(total[some])], ["shingle", "df"])
+        wanted = np.unpackbits(packed).astype(bool)
+        for values in runs(batches):
+            found, n = np.unique(values[wanted[_slot(values)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["shingle", "df"])
 
-    counts = table.select("shingles").mapInArrow(count, "shingle int, df long").groupBy("shingle").agg(F.sum("df").alias("df"))
+    counts = lists.mapInArrow(lean(count), "shingle int, df long").groupBy("shingle").agg(F.sum("df").alias("df"))
     return {r["shingle"]: r["df"] for r in counts.where(F.col("df") > least).collect()}
 
 
 class Weights:
     """TF-IDF weights of sorted multisets."""
 
-    def __init__(self, frequent: dict[int, int], documents: int, floor: float):
+    def __init__(self, frequent: dict[int, int], documents: int, least: float):
         self.keys = np.array(sorted(frequent), np.int32)
-        self.rare = 1 + np.log(1 / floor)
-        self.common = np.array([1 + np.log(documents / frequent[int(k)]) for k in self.keys])
+        self.rare = 1 + np.log(max(documents, 1) / max(least, 1))
+        self.common = (1 + np.log(documents / np.array([frequent[int(k)] for k in self.keys], float))).astype(np.float32)
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
         out = np.full(len(shingles), self.rare)
@@ -266,7 +306,7 @@ def signature_table(table: DataFrame, weights: Weights, bands: int = BANDS, rows
                 rids, total = pa.array(batch.column(0).to_numpy()[i:j][some]), pa.array(np.add.reduceat(each, starts))
                 yield pa.RecordBatch.from_arrays([rids, *lists, total], ["rid", "buckets", "triples", "sketch", "weight"])
 
-    return table.select("rid", "shingles").mapInArrow(run, "rid long, buckets array<long>, triples array<long>, sketch array<tinyint>, weight double")
+    return table.select("rid", "shingles").mapInArrow(lean(run), "rid long, buckets array<long>, triples array<long>, sketch array<tinyint>, weight double")
 
 
 def bit_sketches(table: DataFrame, rids: DataFrame, weights: Weights) -> DataFrame:
@@ -288,7 +328,7 @@ def bit_sketches(table: DataFrame, rids: DataFrame, weights: Weights) -> DataFra
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * packed.shape[1]), pa.array(packed.view(np.int64).reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["rid", "bits"])
 
-    return chosen.mapInArrow(run, "rid long, bits array<long>")
+    return chosen.mapInArrow(lean(run), "rid long, bits array<long>")
 
 
 def _bits_agree(a: str, b: str) -> Column:
@@ -316,7 +356,7 @@ def verify(pairs: DataFrame, table: DataFrame, weights: Weights, threshold: floa
             keep = np.flatnonzero(s >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(s[keep])], ["a", "b", "similarity"])
 
-    return both.mapInArrow(run, "a long, b long, similarity double")
+    return both.mapInArrow(lean(run), "a long, b long, similarity double")
 
 
 def links(members: DataFrame, signed: DataFrame, table: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
@@ -437,23 +477,24 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("rid", "label")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, table: int = TABLE) -> DataFrame:
     """(rid, doc_id, class_id, class_size, kept, n_links) of every row.
 
     A class holds the texts that links of weighted Jaccard similarity at or above the threshold connect, and their
     copies (equal words). ``class_id`` is the smallest doc_id in it, ``kept`` marks one row, that of the smallest id
     (null ids last; of equal ids the first row read); ``n_links`` counts the verified links of the row's text to
-    different texts. Texts without words (null, empty) are copies of each other. Repeated rows are copies; an empty
+    different texts, which is a lower bound of its similar texts: pairs that a class joins already are not all tried. Texts without words (null, empty) are copies of each other. Repeated rows are copies; an empty
     table gives an empty one; other columns are not read. The rows are numbered once, in the stored table of shingles.
     """
-    return _near_duplicates(docs, id_col, text_col, threshold, floor)
+    return _near_duplicates(docs, id_col, text_col, threshold, table)
 
 
-def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, floor: float = FLOOR, rid: Column | None = None) -> DataFrame:
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, size: int = TABLE, rid: Column | None = None) -> DataFrame:
     small_batches(docs.sparkSession)
     table = materialize(shingle_table(docs, id_col, text_col, rid), "shingles")
-    documents = table.count()
-    weights = Weights(frequent_shingles(table, documents, floor) if documents else {}, documents, floor)
+    documents, pairs = table.agg(F.count(F.lit(1)), F.sum(F.size("shingles"))).first()
+    least = max(1.0, (pairs or 0) / size)
+    weights = Weights(frequent_shingles(table, least) if pairs else {}, documents, least)
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     copies = table.groupBy("k1", "k2").agg(F.min("rid").alias("text"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
     copies = materialize(copies, "copies")
@@ -477,7 +518,10 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: flo
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class; columns as they were."""
+    """``docs`` with one row of each class (``near_duplicates``: that of the smallest id, null ids last); columns as they were.
+
+    Of the rows without words (null, empty) one stays; repeated rows are copies; an empty table gives an empty one.
+    """
     rid = fresh(docs.columns, "rid")
     numbered = materialize(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
     gone = _near_duplicates(numbered, id_col, text_col, rid=F.col(rid)).where(~F.col("kept")).select(F.col("rid").alias("gone"))

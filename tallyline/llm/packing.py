@@ -16,7 +16,6 @@ import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import slices, small_batches
-from tallyline.llm.encoders import encoder
+from tallyline.llm.common import lean, resident, slices, small_batches
+from tallyline.llm.encoders import CachedEncoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 BLOCK_TOKENS = 1 << 18
-CACHED_WORDS = 200_000  # packing comes last in a pipeline, whose workers hold other stages' memory already
+CACHED_WORDS = 200_000
 SENTENCE_PENALTY, TOKEN_PENALTY, SEQUENCE_COST, GRID, FULL = 1.0, 3.0, 8.0, 128, 4
 
 
@@ -78,7 +77,6 @@ def choose_cuts(ends: list[int], penalties: list[float], length: int, final: boo
     return cuts[::-1]
 
 
-@lru_cache(maxsize=2)
 def _sentence_ends(tokenizer: str) -> np.ndarray:
     """By token id: whether the token ends a sentence."""
     vocab = json.load(open(tokenizer, encoding="utf-8"))["model"]["vocab"]
@@ -152,9 +150,9 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = 2048, id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(tokenizer, CACHED_WORDS)
+        e, ends = resident(("packing", tokenizer), lambda: (CachedEncoder(tokenizer, CACHED_WORDS), _sentence_ends(tokenizer)))
         tail = np.array([end_id], e.dtype).tobytes()
-        packer = Packer(_sentence_ends(tokenizer), length, TaskContext.get().partitionId() << 33)
+        packer = Packer(ends, length, TaskContext.get().partitionId() << 33)
         names = [c.split()[0] for c in SCHEMA.split(", ")]
 
         def rows(pieces: list[tuple]) -> pa.RecordBatch:
@@ -169,4 +167,4 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = 2048, id
             yield rows(pieces)
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(run, keeps=True), SCHEMA)

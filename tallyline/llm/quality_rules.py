@@ -9,8 +9,10 @@ is emitted as one ordered Spark conditional expression over the statistics' colu
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyline.llm.common import bounded_sample, fresh, plus, slices, texts_of
+from tallyline.llm.common import bounded_sample, fresh, lean, plus, slices, small_batches, texts_of
 
 SYMBOLS = "#*$%&|<>"
 MAX_LABELLED = 20_000
@@ -26,6 +28,12 @@ _LONG = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 _MARKS = "!?;:()[]{}\"/\\=+_~^@"
 
 
+@cache
+def _letters() -> np.ndarray:
+    """By code point: whether it is a letter."""
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
+
+
 def statistics_of(text: str) -> tuple[int, ...]:
     """The values of ``_LONG`` for one text."""
     words = text.encode("utf-8", "surrogatepass").split()  # bytes split at x20 and x09 to x0D alone
@@ -45,8 +53,8 @@ def statistics_of(text: str) -> tuple[int, ...]:
                     covered[i] = covered[i + 1] = covered[i + 2] = 1
             repeated = sum(covered)
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    upper = int(((raw >= 65) & (raw <= 90) | (raw >= 0xC0) & (raw <= 0xDE)).sum())
-    letters = upper + int(((raw >= 97) & (raw <= 122) | (raw > 0xDE)).sum())
+    upper = int(((raw >= 65) & (raw <= 90) | (raw >= 0xC0) & (raw <= 0xDE) & (raw != 0xD7)).sum())
+    letters = int(_letters()[raw].sum())
     digits = int(((raw >= 48) & (raw <= 57)).sum())
     return (
         len(words), len(text) - blank, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated,
@@ -68,7 +76,8 @@ def with_statistics(docs: DataFrame, *, text_col: str = "text", prefix: str = ""
                 columns = zip(*map(statistics_of, texts_of(part, at)))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, pa.int64()) for c in columns)], [*part.schema.names, *names.values()])
 
-    return docs.mapInArrow(run, schema), names
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(lean(run), schema), names
 
 
 #: What rules may test: name -> (numerator, denominator or None); a ratio with denominator 0 is 0.
@@ -196,7 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     Documents that fail the base anyway are left out.
     ``labels`` has (doc_id, quality: 0 is bad). Null ids and labels are left out; of differing labels of an id, none
-    counts. The chosen labels, bounded so, are broadcast; their documents' statistics alone come to the driver.
+    counts; of differing texts of an id, the one with the least statistics counts, repeated rows once. The chosen
+    labels, bounded so, are broadcast; one row of statistics for each comes to the driver.
     """
     clean = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     chosen = clean.where(bounded_sample(clean, F.col("doc_id"), max_labelled)).groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"))
@@ -204,7 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     base = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("d_text"))
     joined = base.join(F.broadcast(chosen), F.col("d_id") == F.col("l_id")).select("d_id", "l_bad", "d_text")
     stats, names = with_statistics(joined, text_col="d_text")
-    rows = stats.where(~base_failed(names)).select("d_id", "l_bad", *(feature(f, names).alias(f) for f in FEATURES)).limit(4 * max_labelled).collect()
+    one = F.min(F.struct("l_bad", *(feature(f, names).alias(f) for f in FEATURES))).alias("r")
+    rows = [r["r"] for r in stats.where(~base_failed(names)).groupBy("d_id").agg(one).select("r").collect()]
     rows.sort(key=lambda r: tuple(r))
     if not rows:
         return DecisionList(())

@@ -20,7 +20,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyline.llm.common import fresh, plus, slices, texts_of
-from tallyline.llm.encoders import _Cache
+from tallyline.llm.common import fresh, lean, plus, resident, slices, small_batches, texts_of
+from tallyline.llm.encoders import _Cache, library_class
 
 # Character classes.
 SP, WS, LETTER, NUMBER, APOS, OTHER, STMD, R, V, LL, E, END = range(12)
@@ -78,12 +78,17 @@ def splitter() -> tuple[np.ndarray, np.ndarray]:
 WHITE_SPACE = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
-@lru_cache(maxsize=1)
-def character_classes() -> np.ndarray:
+#: Below this code point Python's character tables are those of the tokenizers library.
+COMMON = 0x250
+
+
+@cache
+def character_classes(whole: bool = True) -> np.ndarray:
+    """By code point, by the library's tables; without ``whole`` only those below ``COMMON``, which are quick to make."""
     table = np.full(0x110000, OTHER, np.uint8)
-    kinds = np.array([unicodedata.category(chr(i))[0] for i in range(0x110000)])
-    table[kinds == "L"] = LETTER
-    table[kinds == "N"] = NUMBER
+    for kind, k in (("L", LETTER), ("N", NUMBER)):
+        members = library_class(kind) if whole else (c for c in map(chr, range(COMMON)) if unicodedata.category(c)[0] == kind)
+        table[[ord(c) for c in members]] = k
     table[list(range(9, 14)) + list(WHITE_SPACE)] = WS
     table[ord(" ")], table[ord("'")] = SP, APOS
     for c, k in (("s", STMD), ("t", STMD), ("m", STMD), ("d", STMD), ("r", R), ("v", V), ("l", LL), ("e", E)):
@@ -139,10 +144,14 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Bounds of the determinised machine: states; transitions; tokens and pairs of tokens whose merging is known.
+STATES, ARCS, KNOWN = 300_000, 900_000, 400_000
+
+
 class Merger:
     """The transducer over a pre-token's bytes; ``count(bytes)`` sums the emitted changes."""
 
-    def __init__(self, path: str, states: int = 300_000):
+    def __init__(self, path: str, states: int = STATES):
         spec = json.load(open(path, encoding="utf-8"))
         model, letters = spec["model"], _byte_letters()
         if model["type"] != "BPE" or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel":
@@ -177,6 +186,8 @@ class Merger:
     def stands(self, token: bytes) -> bool:
         known = self._whole.get(token)
         if known is None:
+            if len(self._whole) > KNOWN:
+                self._whole.clear()
             known = self._whole[token] = token in self.tokens and len(self.merge([token[i : i + 1] for i in range(len(token))])) == 1
         return known
 
@@ -185,7 +196,7 @@ class Merger:
         known = self._pairs.get((left, right))
         if known is None:
             both = left + right
-            if len(self._pairs) > 400_000:
+            if len(self._pairs) > KNOWN:
                 self._pairs.clear()
             known = self._pairs[left, right] = self.merge([both[i : i + 1] for i in range(len(both))]) == [left, right]
         return known
@@ -246,7 +257,7 @@ class Merger:
                 arc = self._arc(state, byte)
             state = arc[0]
             total += arc[1]
-            if len(self.keys) > self.limit and state:
+            if (len(self.keys) > self.limit or len(arcs) > ARCS) and state:
                 key = self.keys[state]
                 self._reset()
                 arcs = self.arcs
@@ -260,7 +271,6 @@ class TokenCounter:
     def __init__(self, path: str):
         self.merger = Merger(path)
         self.words = _Cache(lambda w: self.merger.count(w.encode("utf-8", "surrogatepass")))
-        self.table = character_classes()
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
@@ -274,7 +284,8 @@ class TokenCounter:
             pieces.extend(parts)
             owner.extend([i] * len(parts))
         joined = "\0".join(pieces) + "\0"
-        classes = self.table[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        classes = character_classes(int(raw.max()) >= COMMON)[raw]
         ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1) - 1
         classes[ends] = END
         begins = np.flatnonzero(boundaries(classes))
@@ -289,9 +300,9 @@ class TokenCounter:
         return extra
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
+    """The Python worker's counter for a file."""
+    return resident(("counter", path), lambda: TokenCounter(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, *, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
@@ -311,7 +322,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, text_col: str = "text", out
                 n = pa.array(c.counts(texts_of(part, at)))
                 yield pa.RecordBatch.from_arrays([*part.columns, n], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(lean(run, keeps=True), schema)
 
 
 def token_report(docs: DataFrame, tokenizer: str, *, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

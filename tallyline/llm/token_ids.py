@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import bounded_sample, slices
+from tallyline.llm.common import bounded_sample, lean, slices, small_batches
 from tallyline.llm.encoders import encoder
 
 MAGIC = b"TLID0001"
@@ -61,7 +61,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, *, max_docs:
                     found += [raw[s : s + DICT_PIECE] for s in [*starts][::step][:DICT_PIECES]]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["piece"])
 
-    pieces = sorted(bytes(r[0]) for r in chosen.mapInArrow(run, "piece binary").collect())
+    pieces = sorted(bytes(r[0]) for r in chosen.mapInArrow(lean(run, keeps=True), "piece binary").collect())
     try:
         return zstandard.train_dictionary(size, pieces).as_bytes()
     except zstandard.ZstdError:
@@ -110,8 +110,10 @@ class Segment:
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text (null: empty), append ``end_id``, write the file set to ``path``.
 
-    Documents are ordered by id (null ids first), equal ids by text. One range shuffle of the texts; encoding happens
-    once, after it. Repeated rows stay repeated; an empty table writes an empty file set. Other columns are not read.
+    Documents are ordered by id (null ids first), equal ids by a hash of the text, so that an id which very many rows
+    share is dealt to many ranges; only repeated rows, equal in both, stay together. One range shuffle of the texts;
+    encoding happens once, after it. Repeated rows stay repeated; an empty table writes an empty file set. Other columns
+    are not read.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -146,8 +148,10 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int,
         if held:
             yield flush()
 
-    ordered = base.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, DATA_SCHEMA).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/data")
+    small_batches(spark)
+    spread = F.xxhash64("text").alias("spread")  # texts of one id, null ids above all, lie in many ranges
+    ordered = base.repartitionByRange("doc_id", spread).sortWithinPartitions("doc_id", spread)
+    ordered.mapInArrow(lean(run, keeps=True), DATA_SCHEMA).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/data")
 
 
 def _dictionary(spark: SparkSession, path: str) -> bytes:
@@ -191,7 +195,7 @@ def read_token_ids(spark: SparkSession, path: str, *, with_ids: bool = True) ->
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return data.select("shard", "first_token", "payload").mapInArrow(run, schema)
+    return data.select("shard", "first_token", "payload").mapInArrow(lean(run), schema)
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import attach, materialize
+from tallyline.llm.common import attach, lean, materialize, small_batches
 
 CHUNK_BYTES = 1 << 20
 DATE = "2020-01-01T00:00:00Z"
@@ -158,9 +158,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """
     table = spark.read.schema(TABLE_SCHEMA).parquet(path)
     columns = ["record_id", "chunk_no", "n_chunks", "bytes", "crc32"]
-    short = table.where(F.col("n_chunks") == 1).select(columns).mapInArrow(_parse, READ_SCHEMA)
+    small_batches(spark)
+    short = table.where(F.col("n_chunks") == 1).select(columns).mapInArrow(lean(_parse), READ_SCHEMA)
     long = table.where(F.col("n_chunks") > 1).select(columns).repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
-    return short.unionByName(long.mapInArrow(_parse, READ_SCHEMA))
+    return short.unionByName(long.mapInArrow(lean(_parse), READ_SCHEMA))
 
 
 def export_warc(spark: SparkSession, path: str, archive: int, out) -> int:

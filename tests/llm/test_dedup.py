@@ -123,7 +123,8 @@ def test_near_duplicates(spark):
     for _, _, s in made:
         for k in set(s.tolist()):
             df[k] += 1
-    weights = near_dedup.Weights({k: v for k, v in df.items() if v > near_dedup.FLOOR * n}, n, near_dedup.FLOOR)
+    weights = near_dedup.Weights({k: v for k, v in df.items() if v > 1}, n, 1)
+    assert near_dedup.frequent_shingles(near_dedup.shingle_table(docs, "doc_id", "text"), 1) == {k: v for k, v in df.items() if v > 1}
     parent = list(range(n))
 
     def find(i):
@@ -147,6 +148,34 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_frequencies_and_saturation(spark):
+    """Exact frequencies above a bound, from counters that every task adds to; weights vary below and above it."""
+    rng = np.random.default_rng(6)
+    sets = [np.sort(np.concatenate([rng.zipf(1.3, 200) % 5000, rng.integers(0, 1 << 31, 50)])).astype(np.int32) for _ in range(400)]
+    rows = [(i, x.tolist()) for i, x in enumerate(sets)] + [(400, [])]
+    table = spark.createDataFrame(rows, "rid long, shingles array<int>").repartition(7)
+    df = defaultdict(int)
+    for x in sets:
+        for k in set(x.tolist()):
+            df[k] += 1
+    for least in (1, 5, 40.5, 1000):
+        assert near_dedup.frequent_shingles(table, least) == {k: v for k, v in df.items() if v > least}
+    w = near_dedup.Weights({k: v for k, v in df.items() if v > 5}, 401, 5)
+    some = [min(df, key=df.get), max(df, key=df.get)]
+    assert np.allclose(w(np.array(some, np.int32)), [1 + np.log(401 / 5), 1 + np.log(401 / df[some[1]])])
+
+
+def test_frequent_passages_weigh_less(spark):
+    """Two texts that share a passage of the whole corpus aren't near copies, at equal shares of a rare passage they are."""
+    random.seed(8)
+    fresh = lambda n: ["".join(random.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    common, rare = fresh(300), fresh(300)
+    texts = [" ".join(common + fresh(25)) for _ in range(60)] + [" ".join(rare + fresh(25)) for _ in range(2)] + [" ".join(fresh(300)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    size = {r["doc_id"]: r["class_size"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert [size[i] for i in (60, 61)] == [2, 2] and {size[i] for i in range(60)} == {1}
+
+
 def test_repeated_and_null_ids(spark):
     path = scratch_path(spark, "test-docs")
     spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (None, None)], "doc_id long, text string").coalesce(1).write.parquet(path)
@@ -172,7 +201,7 @@ def test_bridge_between_families_of_a_large_bucket(spark):
     path = scratch_path(spark, "test-sets")
     spark.createDataFrame(rows, "rid long, shingles array<int>").write.parquet(path)
     table = spark.read.parquet(path)
-    weights = near_dedup.Weights({}, len(rows), near_dedup.FLOOR)
+    weights = near_dedup.Weights({}, len(rows), 1)
     signed = near_dedup.signature_table(table, weights).withColumn("triples", F.array_repeat(F.lit(1).cast("long"), near_dedup.TRIPLES))
     members = signed.select(F.lit(1).cast("long").alias("bucket"), F.lit(0).alias("band"), "rid")
     links = near_dedup.links(members, signed, table, weights)

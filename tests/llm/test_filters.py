@@ -1,6 +1,8 @@
 """URL filters, language ID and quality rules against brute force and held-out labels."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -53,9 +55,63 @@ def test_language_id(spark):
     assert language_id.predict(docs.limit(3), empty).first()["lang_pred"] == "und"
 
 
+def brute_language(train, texts, languages):
+    """The method word by word, without caches, bounds or Spark."""
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    counts = [Counter() for _ in range(6)]  # 0: words; else n-grams by order
+    for text, lang in train:
+        for w in words(text):
+            counts[0][w, lang] += 1
+            for order in language_id.ORDERS:
+                for g in language_id.grams_of(w, order):
+                    counts[len(g)][g, lang] += 1
+    logs = []
+    for c in counts:
+        c = {k: n for k, n in c.items() if n > 1}
+        items = {i for i, _ in c}
+        total = {x: sum(c.get((i, x), 0) + 0.5 for i in items) for x in languages}
+        logs.append({i: [np.log((c.get((i, x), 0) + 0.5) / total[x]) for x in languages] for i in items})
+    out = []
+    for text in texts:
+        total = np.zeros(len(languages))
+        for w in words(text):
+            if w in logs[0]:
+                total += logs[0][w]
+                continue
+            for order in language_id.ORDERS:
+                if known := [logs[len(g)][g] for g in language_id.grams_of(w, order) if g in logs[len(g)]]:
+                    total += np.mean(known, axis=0)
+                    break
+        p = np.exp(total - total.max())
+        out.append((languages[int(p.argmax())], p.max() / p.sum()) if words(text) else ("und", 0.0))
+    return out
+
+
+def test_language_scores_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.unionByName(spark.createDataFrame([(-1, "x" * 300 + " der " * 40_000, None), (-2, "", "xx"), (-3, None, None)], docs.schema))
+    rows, out = docs.collect(), language_id.held_out(F.col("doc_id"))
+    held = {r["doc_id"] for r in docs.where(out).collect()}
+    model = language_id.train(docs.where(~out), max_words=10**6, max_grams=10**6)
+    got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    want = brute_language([(r["text"], r["lang"]) for r in rows if r["lang"] is not None and r["doc_id"] not in held], [r["text"] for r in rows], model.languages)
+    right = 0
+    for r, (lang, score) in zip(rows, want):
+        assert got[r["doc_id"]]["lang_pred"] == lang and abs(got[r["doc_id"]]["score"] - score) < 1e-3
+        right += r["doc_id"] in held and r["lang"] == lang
+    assert right >= 0.97 * sum(r["doc_id"] in held and r["lang"] is not None for r in rows)
+
+
+def test_vocabulary_bound(spark):
+    rows = [("aa", w, k) for k, w in enumerate(["eins", "zwei", "drei", "vier"])] + [("bb", w, k) for k, w in enumerate(["un", "deux"])]
+    docs = spark.createDataFrame([(i, " ".join([w] * (k + 2)), lang) for i, (lang, w, k) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language_id.train(docs, max_words=2, max_grams=1000)
+    assert model.words == ["deux", "drei", "un", "vier"] and model.languages == ("aa", "bb")
+
+
 def test_word_cache_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(language_id, "CACHED_WORDS", 64)
-    model = language_id.LanguageModel(("x", "y"), {"w": (0.0, -1.0)}, {"a": (-1.0, 0.0)})
+    model = language_id.LanguageModel(("x", "y"), ["w"], np.array([[0.0, -1.0]]), ["a"], np.array([[-1.0, 0.0]]))
     scores = language_id._Scores(model)
     assert np.allclose(scores.total([f"a{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(500)] + ["w"]), [-500.0, -1.0])
 

@@ -44,6 +44,25 @@ def test_cached_encoders_equal_the_library():
             assert e.encode(text or "").tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
+def test_every_character_and_random_sequences():
+    """All code points in some contexts, and sequences of characters that combine, reorder or are newly assigned."""
+    import tiktoken
+
+    rng = random.Random(9)
+    points = [c for c in range(1, 0x32000, 3) if not 0xD800 <= c < 0xE000] + [0x558, 0x2EAB, 0x208F, 0x962, 0x58C, 0x2A61, 0xEC8, 0xD3C, 0x10EE7, 0x2CEA7, 0xE0001, 0x10FFFF]
+    texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)}' {chr(c)}" for c in points]
+    odd = [chr(c) for c in (*range(0x300, 0x330), 0xEC8, 0xD3C, 0x1100, 0x1161, 0x11A8, 0x3099, 0x958, 0x9BE, 0x2126, 0x130, 0x345, 0x1F80, 0x558, 0x2EAB, 0x10EE7, 0x20, 0xA0, 0x85)] + list("aÉΣs'1.")
+    texts += ["".join(rng.choice(odd) for _ in range(12)) for _ in range(3000)] + ["".join(chr(rng.choice(points)) for _ in range(12)) for _ in range(3000)]
+    for path in (BPE, WORD):
+        e, want = CachedEncoder(path, 2000), library(path).encode_batch_fast(texts, add_special_tokens=False)
+        assert [x for x, w in zip(texts, want) if e.encode(x).tolist() != w.ids] == []
+        if path == BPE:
+            assert token_counts.TokenCounter(BPE).counts(texts).tolist() == [len(w.ids) for w in want]
+    c = byte_bpe.ByteBPE(RANKS, public_tokenizers.PATTERN)
+    k = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    assert [x for x in texts if c.encode(x) != k.encode_ordinary(x)] == []
+
+
 def test_token_counts(spark, docs):
     t = library(BPE)
     got = {r["doc_id"]: r for r in token_counts.token_report(docs, BPE).collect()}
