@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: UTF-8 bytes of text that a Python worker handles at once (a single larger text goes alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 _resident: dict[Hashable, Any] = {}
@@ -74,8 +74,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 8 MB for this session: a worker and its JVM hold several at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """For this session: Arrow batches of at most 2 MB, and whole texts read 1,024 rows at a time. A worker and its JVM hold several of each."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "1024")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -100,6 +101,11 @@ def remove(spark: SparkSession, *frames_or_paths: DataFrame | str) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_frame(spark: SparkSession, table: pa.Table) -> DataFrame:
+    """A frame of a few rows that the driver holds; as Arrow, which starts no Python workers of another kind."""
+    return spark.createDataFrame(table)
+
+
 def fresh(names: list[str], base: str) -> str:
     """``base``, lengthened until it clashes with none of ``names`` (Spark compares names without case)."""
     taken = {n.lower() for n in names}

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import attach, fresh, lean, materialize, remove
+from tallyline.llm.common import attach, fresh, lean, materialize, remove, small_batches, small_frame
 
 BLOCK_BYTES = 4096
 HOT = 500
@@ -68,11 +68,12 @@ def _hot(rows: DataFrame, key: str, total: int) -> DataFrame | None:
     keys = sorted(bytes(r[0]) for r in found)
     if not keys:
         return None
-    return rows.sparkSession.createDataFrame([(bytearray(k), -1 - i) for i, k in enumerate(keys)], "h_key binary, h_name long")
+    return small_frame(rows.sparkSession, pa.table({"h_key": pa.array(keys, pa.binary()), "h_name": pa.array(range(-1, -1 - len(keys), -1), pa.int64())}))
 
 
 def identities(docs: DataFrame, *, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` (with a unique long ``rid``) as (rid, identity): equal numbers for equal normalised texts, and only for those."""
+    small_batches(docs.sparkSession)
     data = normalised(F.col(text_col)).cast("binary")
     size = F.octet_length("data")
     base = docs.select("rid", data.alias("data")).withColumn("last", F.floor((F.greatest(size, F.lit(1)) - 1) / block_bytes).cast("int"))

@@ -28,7 +28,7 @@ MAX_DOCS = 3000
 MAX_WORDS, MAX_GRAMS = 15_000, 15_000
 ORDERS = (5, 4, 3, 2, 1)
 LONGEST_WORD = 100
-CACHED_WORDS = 100_000
+CACHED_WORDS = 60_000
 _words = re.compile(r"[^\W\d_]+").findall
 
 

@@ -52,7 +52,7 @@ AGREEING = 22
 #: bound is four standard deviations lower: 1 in 30,000 pairs at the threshold is missed here, hardly any above it.
 FURTHER, FURTHER_AGREEING = 512, 402
 BROADCAST_IDS = 1_000_000
-CHUNK_SHINGLES = 500_000
+CHUNK_SHINGLES = 250_000
 #: Counters of all shingles, and the rows that carry them.
 SLOTS, SLOT_BLOCKS = 1 << 22, 64
 _U = np.uint64
@@ -112,7 +112,7 @@ def band_keys(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
 class Shingler:
     def __init__(self, words: int = WORDS):
         self.words = words
-        self.cache = _Cache(xxhash.xxh64_intdigest, 75_000)
+        self.cache = _Cache(xxhash.xxh64_intdigest, 50_000)
 
     def __call__(self, text: str) -> tuple[int, int, np.ndarray]:
         """Two halves of the content key, and the sorted multiset of shingle hashes."""

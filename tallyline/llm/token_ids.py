@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import bounded_sample, lean, slices, small_batches
+from tallyline.llm.common import bounded_sample, lean, slices, small_batches, small_frame
 from tallyline.llm.encoders import encoder
 
 MAGIC = b"TLID0001"
@@ -119,7 +119,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int,
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dictionary = train_dictionary(base, tokenizer, end_id)
     sha = hashlib.sha256(dictionary).digest()
-    spark.createDataFrame([(dictionary, sha.hex())], "dictionary binary, sha256 string").coalesce(1).write.mode("overwrite").parquet(f"{path}/dictionary")
+    small_frame(spark, pa.table({"dictionary": pa.array([dictionary], pa.binary()), "sha256": [sha.hex()]})).coalesce(1).write.mode("overwrite").parquet(f"{path}/dictionary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = _codec(dictionary)[0].compress

@@ -1,7 +1,8 @@
 """URL filters [native]: host-suffix and path-prefix expressions joined with rules on short hash prefixes.
 
 Every URL is expanded into (host suffix, directory prefix) expressions, but only of the shapes that occur among
-the rules (so many labels, so many slashes), which keeps the expansion of odd URLs bounded. Expressions meet rules
+the rules (so many labels, so many slashes), which keeps the expansion of odd URLs bounded; for rules of more than
+``MAX_SHAPES`` shapes, of all shapes up to their most labels and slashes. Expressions meet rules
 in an equi-join on the first 32 bits of a SHA-256 digest; the full digest and the rule's whole path confirm.
 Distinct (id, url) rows are expanded once and carry their number of copies.
 
@@ -73,8 +74,6 @@ def url_filter(
     """
     prepared = prepare_rules(rules)
     shapes = [(r[0], r[1]) for r in prepared.select("r_labels", "r_depth").distinct().limit(MAX_SHAPES + 1).collect()]
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"more than {MAX_SHAPES} rule shapes (labels, slashes)")
     urls = pages.select(F.col(id_col).alias("u_id"), F.col(url_col).alias("u_url"))
     urls = urls.groupBy("u_id", "u_url").agg(F.count(F.lit(1)).alias("u_copies"))
     host, path = host_and_path(F.col("u_url"))
@@ -84,7 +83,14 @@ def url_filter(
         fits = (_labels(F.col("u_host")) >= labels) & (_slashes(F.col("u_path")) >= depth)
         return F.when(fits, _digest(F.call_function("substring_index", F.col("u_host"), F.lit("."), F.lit(-labels)), _directory(F.col("u_path"), depth)))
 
-    expressions = F.array_compact(F.array(*(expression(*s) for s in sorted(shapes)))) if shapes else F.array().cast("array<string>")
+    if len(shapes) <= MAX_SHAPES:
+        expressions = F.array_compact(F.array(*(expression(*s) for s in sorted(shapes)))) if shapes else F.array().cast("array<string>")
+    else:
+        most = prepared.agg(F.max("r_labels").alias("labels"), F.max("r_depth").alias("depth")).first()
+        labels = F.sequence(F.lit(1), F.least(_labels(F.col("u_host")), F.lit(most["labels"])))
+        depths = F.sequence(F.lit(0), F.least(_slashes(F.col("u_path")), F.lit(most["depth"])))
+        suffix = lambda n: F.call_function("substring_index", F.col("u_host"), F.lit("."), -n)
+        expressions = F.flatten(F.transform(labels, lambda n: F.transform(depths, lambda d: _digest(suffix(n), _directory(F.col("u_path"), d)))))
     wide = urls.withColumn("u_digest", F.explode_outer(expressions)).withColumn("u_prefix", F.substring("u_digest", 1, 8))
     confirmed = (
         (F.col("u_prefix") == F.col("r_prefix"))

@@ -20,6 +20,7 @@ def test_warc_round_trip(spark):
     html = ["<p>é</p>", None, "", "<p>é</p>", "x" * 5000, "x" * 5000, "a\r\n\r\nb", "y" * 64, "<p>é</p>"]
     rows = [(i, None if i == 2 else f"http://h/{i}\r\n", h, "extra") for i, h in enumerate(html)] + [(8, "http://again", "<p>é</p>", "e"), (None, "http://n", "", "e")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
+    pages = pages.selectExpr("*", "1 AS record_id", "'x' AS bytes", "2 AS chunk_no", "3 AS archive", "'y' AS payload", "'z' AS n")
     path = scratch_path(spark, "test-warc")
     warc.write_warc(pages, path, chunk_bytes=64, archives=2)
     got = sorted(map(tuple, warc.read_warc(spark, path).collect()), key=str)
@@ -48,7 +49,7 @@ def test_warc_damage(spark):
 
 
 def test_exact_dedup(spark):
-    long = "abc " * 4000
+    long = "abc " * 500_000
     texts = ["a b", "a  b", "a\tb", "a\n\nb ", " a b", None, "", " ", "  ", long, long + "x", long, "é", "é", "a b", *(["copy of a long text " * 300] * 60)]
     rows = [(i if i != 14 else 0, t, "x") for i, t in enumerate(texts)] + [(None, "a b", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string").coalesce(2)
@@ -107,6 +108,8 @@ def near_fixture():
         texts.append(" ".join(copy))
     passage = fresh(60)
     texts += [" ".join(fresh(30) + passage + fresh(10)) for _ in range(40)]
+    long = fresh(60_000)
+    texts += [" ".join(long), " ".join(long[:-3])]
     texts += [texts[0]] * 30 + [texts[0].upper(), None, "", "one two", "one  TWO", "one three"]
     return texts
 

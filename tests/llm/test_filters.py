@@ -1,14 +1,17 @@
 """URL filters, language ID and quality rules against brute force and held-out labels."""
 
 import random
-import re
-from collections import Counter
+import sys
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from tallyline.llm import language_id, quality_rules, url_filters
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+import brute  # noqa: E402
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("a.b.net", "/en/x", "block"), ("b.net", "", "allow"), ("net", "/", "allow")]
 URLS = [
     None, "", "no-scheme.net/x", "http://", "http://A.Example.NET/en/1?q=/de/", "https://example.net/en", "https://example.net", "http://x.a.b.net/en/xy", "http://a.b.net/en/y#f", "http://b.net?x", "http://badexample.com/de/1",
@@ -26,13 +29,17 @@ def judge(url):
     return host, path, best and best[0] + best[1], best[2] if best else "allow"
 
 
-def test_url_filter(spark):
+def test_url_filter(spark, monkeypatch):
     rows = [(i, u, "x") for i, u in enumerate(URLS)] + [(4, URLS[4], "y"), (None, URLS[4], "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     for bound in (100, 0):
         got = sorted(map(tuple, url_filters.url_filter(pages, rules, broadcast_rules=bound).collect()), key=str)
         assert got == sorted(((i, *judge(u)) for i, u, _ in rows), key=str)
+    monkeypatch.setattr(url_filters, "MAX_SHAPES", 2)
+    got = sorted(map(tuple, url_filters.url_filter(pages, rules).collect()), key=str)
+    assert got == sorted(((i, *judge(u)) for i, u, _ in rows), key=str)
+    monkeypatch.undo()
     assert url_filters.url_filter(pages.limit(0), rules).count() == 0
     assert {r["verdict"] for r in url_filters.url_filter(pages, rules.limit(0)).collect()} == {"allow"}
 
@@ -55,38 +62,6 @@ def test_language_id(spark):
     assert language_id.predict(docs.limit(3), empty).first()["lang_pred"] == "und"
 
 
-def brute_language(train, texts, languages):
-    """The method word by word, without caches, bounds or Spark."""
-    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
-    counts = [Counter() for _ in range(6)]  # 0: words; else n-grams by order
-    for text, lang in train:
-        for w in words(text):
-            counts[0][w, lang] += 1
-            for order in language_id.ORDERS:
-                for g in language_id.grams_of(w, order):
-                    counts[len(g)][g, lang] += 1
-    logs = []
-    for c in counts:
-        c = {k: n for k, n in c.items() if n > 1}
-        items = {i for i, _ in c}
-        total = {x: sum(c.get((i, x), 0) + 0.5 for i in items) for x in languages}
-        logs.append({i: [np.log((c.get((i, x), 0) + 0.5) / total[x]) for x in languages] for i in items})
-    out = []
-    for text in texts:
-        total = np.zeros(len(languages))
-        for w in words(text):
-            if w in logs[0]:
-                total += logs[0][w]
-                continue
-            for order in language_id.ORDERS:
-                if known := [logs[len(g)][g] for g in language_id.grams_of(w, order) if g in logs[len(g)]]:
-                    total += np.mean(known, axis=0)
-                    break
-        p = np.exp(total - total.max())
-        out.append((languages[int(p.argmax())], p.max() / p.sum()) if words(text) else ("und", 0.0))
-    return out
-
-
 def test_language_scores_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
     docs = docs.unionByName(spark.createDataFrame([(-1, "x" * 300 + " der " * 40_000, None), (-2, "", "xx"), (-3, None, None)], docs.schema))
@@ -94,7 +69,7 @@ def test_language_scores_against_brute_force(spark):
     held = {r["doc_id"] for r in docs.where(out).collect()}
     model = language_id.train(docs.where(~out), max_words=10**6, max_grams=10**6)
     got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
-    want = brute_language([(r["text"], r["lang"]) for r in rows if r["lang"] is not None and r["doc_id"] not in held], [r["text"] for r in rows], model.languages)
+    want = brute.languages([(r["text"], r["lang"]) for r in rows if r["lang"] is not None and r["doc_id"] not in held], [r["text"] for r in rows])
     right = 0
     for r, (lang, score) in zip(rows, want):
         assert got[r["doc_id"]]["lang_pred"] == lang and abs(got[r["doc_id"]]["score"] - score) < 1e-3
@@ -116,21 +91,11 @@ def test_word_cache_is_bounded(spark, monkeypatch):
     assert np.allclose(scores.total([f"a{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(500)] + ["w"]), [-500.0, -1.0])
 
 
-def brute_statistics(text):
-    import re
-
-    words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
-    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), sum(x in lines[:i] for i, x in enumerate(lines)), len(covered)
-
-
 def test_statistics():
     random.seed(3)
     cases = ["", " \n ", "a b c a b c", "a a a a", "x\ny\nx\n \n x", "#|<>\x1c\x85é", "one two"] + ["".join(random.choice("ab c\n\t#é\x1f") for _ in range(120)) for _ in range(200)]
     for text in cases:
-        assert quality_rules.statistics_of(text)[:5] == brute_statistics(text)
+        assert quality_rules.statistics_of(text)[:5] == brute.statistics(text)[0]
 
 
 def test_quality_rules(spark):
@@ -139,14 +104,14 @@ def test_quality_rules(spark):
     good = [" ".join(random.choice(words) + random.choice(words) for _ in range(80)) for _ in range(300)]
     bad = [" ".join(random.choice(words) + random.choice(words) + "%%%" for _ in range(80)) for _ in range(150)]
     rows = [(i, t, "c") for i, t in enumerate(good + bad)]
-    docs = spark.createDataFrame([*rows, (9000, None, "c"), (9001, "short", "c"), (0, good[0], "c")], "doc_id long, text string, kept string")
+    docs = spark.createDataFrame([*rows, (9000, None, "c"), (9001, "short", "c"), (9002, "alpha beta %%% gamma " * 200_000, "c"), (0, good[0], "c")], "doc_id long, text string, kept string")
     labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(450)] + [(None, 1, 0), (3, None, 0), (5, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
     rules = quality_rules.train(docs, labels)
     assert 1 <= len(rules.rules) <= 3
     judged, names = quality_rules.judge(docs, rules)
     kept = {r["doc_id"]: r[names["kept"]] for r in judged.collect()}
     assert names["kept"] == "kept_" and judged.count() == docs.count()
-    assert all(kept[i] == (i < 300) for i in range(450)) and not kept[9000] and not kept[9001]
+    assert all(kept[i] == (i < 300) for i in range(450)) and not kept[9000] and not kept[9001] and not kept[9002]
     assert quality_rules.train(docs, labels.limit(0)).rules == ()
     assert quality_rules.judge(docs.limit(0), rules)[0].count() == 0
 
