@@ -40,7 +40,8 @@ def is_ascii(s: Column) -> Column:
 
 
 def nfc(s: Column, ascii_only: bool = False) -> Column:
-    return s if ascii_only else _nfc(s)
+    """Normal form C; ASCII texts, which are in it, don't cross to Python."""
+    return s if ascii_only else F.coalesce(_nfc(F.when(~is_ascii(s), s)), s)
 
 
 def casefold(s: Column, ascii_only: bool = False) -> Column:

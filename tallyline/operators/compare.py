@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyline import taxonomy as tx
 from tallyline.functions.canon import error_code, folded, is_error, payload, tag
 from tallyline.plans.contract import Contract
+from tallyline.sources.scratch import store
 
 ROUNDING_STEPS = "0.51"
 
@@ -20,14 +21,15 @@ def keyed_comparison(left: DataFrame, right: DataFrame, key: str = "key") -> Dat
     status: matched, missing_in_target, missing_in_source, duplicate_identity (several source rows) or multi_match
     (several target rows). Duplicates are settled first and take part in no comparison; a key with several target rows
     counts as present for the source. ``l`` and ``r`` hold the sides' rows where they are single. Each side is
-    aggregated by key and joined with the same partitioning: one shuffle a side.
+    aggregated by key and joined with the same partitioning: one shuffle a side. Rows without a key take no part;
+    they go after the join, where the test doesn't repeat the key's expression in the scan.
     """
 
     def one(df: DataFrame, name: str) -> DataFrame:
         rest = [c for c in df.columns if c != key]
-        return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(f"{name}_n"), F.first(F.struct(*rest)).alias(name))
+        return df.groupBy(key).agg(F.count(F.lit(1)).alias(f"{name}_n"), F.first(F.struct(*rest)).alias(name))
 
-    both = one(left, "l").join(one(right, "r"), key, "full_outer")
+    both = one(left, "l").join(one(right, "r"), key, "full_outer").where(F.col(key).isNotNull())
     status = (
         F.when(F.col("l_n") > 1, F.lit("duplicate_identity")).when(F.col("r_n") > 1, F.lit("multi_match"))
         .when(F.col("r_n").isNull(), F.lit("missing_in_target")).when(F.col("l_n").isNull(), F.lit("missing_in_source")).otherwise(F.lit("matched"))
@@ -50,11 +52,33 @@ def delta_class(a: Column, b: Column, c: Contract) -> Column:
     return F.when(cosmetic, F.lit("cosmetic")).when(both_numbers & F.coalesce(near, F.lit(False)), F.lit("rounding")).otherwise(F.lit("substantive"))
 
 
-def field_differences(pairs: DataFrame, columns: Sequence[Contract], keep: Sequence[str] = ("key",)) -> DataFrame:
-    """(keep..., field, source_token, target_token, finding, delta_class): the differing fields of pairs (``l``, ``r``).
+def unequal_keys(left: DataFrame, right: DataFrame, key: str = "key") -> DataFrame:
+    """The keys whose comparison can show anything: on one side only, repeated, of different hashes or with an unreadable token.
 
-    Pairs with equal row hashes are skipped unseen. An error on either side is reported by its kind, never compared.
+    Of each side a key, a hash and a flag are shuffled, never the rows' tokens.
     """
+
+    def slim(df: DataFrame, name: str) -> DataFrame:
+        bad = F.exists(F.map_values("canon"), is_error)
+        parts = [F.max(F.conv(F.substring("h_row", 1 + 11 * i, 11), 16, 10).cast("bigint")).alias(f"{name}_{i}") for i in range(3)]
+        return df.groupBy(key).agg(F.count(F.lit(1)).alias(f"{name}_n"), *parts, F.max(bad).alias(f"{name}_bad"))
+
+    both = slim(left, "l").join(slim(right, "r"), key, "full_outer")
+    same = (F.col("l_n") == 1) & (F.col("r_n") == 1) & ~F.col("l_bad") & ~F.col("r_bad")
+    for i in range(3):
+        same = same & (F.col(f"l_{i}") == F.col(f"r_{i}"))
+    return both.where(~F.coalesce(same, F.lit(False)) & F.col(key).isNotNull()).select(key)
+
+
+def unequal_comparison(left: DataFrame, right: DataFrame, key: str = "key") -> DataFrame:
+    """``keyed_comparison`` of the unequal keys alone, for large sides that mostly agree: stored sides are read twice, but only
+    the rows of unequal keys are moved whole."""
+    keys = store(unequal_keys(left, right, key), "unequal")
+    return keyed_comparison(left.join(keys, key, "left_semi"), right.join(keys, key, "left_semi"), key)
+
+
+def difference_array(columns: Sequence[Contract]) -> Column:
+    """The differing fields of a pair (``l``, ``r``) as an array of structs; see ``field_differences``."""
     parts = []
     for c in columns:
         if c.ctype == "ignore":
@@ -72,8 +96,25 @@ def field_differences(pairs: DataFrame, columns: Sequence[Contract], keep: Seque
             F.lit(c.key).alias("field"), a.alias("source_token"), b.alias("target_token"), kind.alias("finding"),
             F.when(~bad, delta_class(a, b, c)).alias("delta_class"),
         )))
-    unequal = pairs.where(~(F.col("l.h_row") == F.col("r.h_row")) | F.exists(F.map_values("l.canon"), is_error))
-    return unequal.select(*keep, F.explode(F.array_compact(F.array(*parts))).alias("d")).select(*keep, "d.*")
+    return F.array_compact(F.array(*parts))
+
+
+def worth_comparing() -> Column:
+    """Whether a pair's fields can differ: unequal row hashes, or an unreadable token."""
+    return ~(F.col("l.h_row") == F.col("r.h_row")) | F.exists(F.map_values("l.canon"), is_error)
+
+
+def field_differences(pairs: DataFrame, columns: Sequence[Contract], keep: Sequence[str] = ("key",)) -> DataFrame:
+    """(keep..., field, source_token, target_token, finding, delta_class): the differing fields of pairs (``l``, ``r``).
+
+    Pairs with equal row hashes are skipped unseen. An error on either side is reported by its kind, never compared.
+    """
+    return pairs.where(worth_comparing()).select(*keep, F.explode(difference_array(columns)).alias("d")).select(*keep, "d.*")
+
+
+def worst_difference(columns: Sequence[Contract]) -> Column:
+    """The last delta class by name of a pair's differing fields (substantive over rounding over cosmetic); null if none differs."""
+    return F.when(worth_comparing(), F.array_max(F.transform(difference_array(columns), lambda d: d["delta_class"])))
 
 
 def findings(comparison: DataFrame, columns: Sequence[Contract]) -> DataFrame:

@@ -20,7 +20,7 @@ def value_kind(v: Column, dtype: str) -> Column:
     if dtype in _NUMERIC or dtype.startswith("decimal"):
         return F.when(v.isNull(), F.lit("empty")).when((v >= 20000) & (v <= 60000), F.lit("date_serial")).otherwise(F.lit("number"))
     s = v.cast("string")
-    return F.when(s.isNull() | (F.trim(s) == ""), F.lit("empty")).when(F.trim(s).isin(*tx.CELL_ERRORS), F.lit("error")).otherwise(F.lit("text"))
+    return F.when(s.isNull() | (F.trim(s) == ""), F.lit("empty")).when(s.rlike(tx.ERROR_TEXT), F.lit("error")).otherwise(F.lit("text"))
 
 
 def column_kind(kinds: Column) -> Column:
@@ -33,7 +33,7 @@ def column_kind(kinds: Column) -> Column:
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None, order: str | None = None) -> DataFrame:
-    """(column, nonempty, distinct, kind[, sample]) of each column, exact, in one pass over long rows.
+    """(column, nonempty, distinct, kind[, sample]) of each column; counts are exact, in one pass over long rows.
 
     Rows become (column, value) pairs, pre-counted before the shuffle, so distinct counting needs no set in memory.
     With ``order``, ``sample`` lists the first ten values by it.
@@ -48,7 +48,11 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, order: str | No
     out = counted.groupBy("column").agg(
         F.coalesce(F.sum(F.when(full, F.col("n"))), F.lit(0)).alias("nonempty"), F.count(F.when(full, F.lit(1))).alias("distinct"), F.collect_set("kind").alias("kinds")
     )
-    return out.select("column", "nonempty", "distinct", column_kind(F.col("kinds")).alias("kind"))
+    out = out.select("column", "nonempty", "distinct", column_kind(F.col("kinds")).alias("kind"))
+    if order is None:
+        return out
+    first = samples(df, columns, order)  # one row for each column
+    return out.join(F.broadcast(first), "column", "left").withColumn("sample", F.coalesce("sample", F.array().cast("array<string>")))
 
 
 def samples(df: DataFrame, columns: Sequence[str], order: str, k: int = SAMPLE) -> DataFrame:

@@ -33,16 +33,20 @@ def clip(found: DataFrame, columns: Sequence[str], limit: int = 500) -> DataFram
     return found.withColumns({c: clipped(F.col(c), limit) for c in columns})
 
 
-def fingerprint(found: DataFrame, columns: Sequence[str], groups: int = 1024) -> DataFrame:
-    """One hex digest of a set of findings, whatever their order.
+def fingerprint(found: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One hex digest of a multiset of findings, whatever their order.
 
-    Rows are hashed and sorted within ``groups`` parts by hash, then the parts' digests are hashed in order, so no task
-    holds all rows.
+    Rows are hashed and equal ones counted before the shuffle; the lines ``hash:count;`` of each of 4,096 parts by the
+    hash's first digits stream in order through a running SHA-256, and the parts' digests are hashed in order. Of no findings:
+    the digest of nothing.
     """
+    from tallyline.operators.merkle import sequence_digests
+
     row = F.sha2(F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns)), 256)
-    rows = found.select(row.alias("h")).withColumn("g", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint"), F.lit(groups)))
-    parts = rows.groupBy("g").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\u001e"), 256).alias("d"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), "\u001e"), 256).alias("fingerprint"))
+    rows = found.select(row.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.substring("h", 1, 3))
+    parts = sequence_digests(rows, "g", ("h",), F.lit(b""), F.concat("h", F.lit(":"), F.col("n").cast("string"), F.lit(";")).cast("binary"))
+    listed = F.array_sort(F.collect_list(F.struct("g", "digest")))  # 4,096 at most
+    return parts.agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["digest"]), ""), 256).alias("fingerprint"))
 
 
 def dashboard(datasets: DataFrame) -> DataFrame:
@@ -105,3 +109,32 @@ def previous_complete(runs: DataFrame, key: str, order: str) -> DataFrame:
 def empty_guard(row_count: Column, prev_row_count: Column, read_complete: Column) -> Column:
     """The finding of an empty or incomplete read: none, read_incomplete, or empty_tab where rows were before."""
     return F.when(~read_complete, F.lit("read_incomplete")).when((row_count == 0) & (F.coalesce(prev_row_count, F.lit(0)) > 0), F.lit("empty_tab"))
+
+
+def dataset_report(datasets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Datasets with their file's name and path; those without a file go."""
+    return datasets.join(nodes.select("file_id", "name", "path"), "file_id")
+
+
+def drift_report(found: DataFrame, datasets: DataFrame, nodes: DataFrame, run_id: object | None = None, finding: str | None = None) -> DataFrame:
+    """Findings with their dataset's title and file's name, which may both be gone."""
+    if run_id is not None:
+        found = found.where(F.col("run_id") == run_id)
+    if finding is not None:
+        found = found.where(F.col("finding") == finding)
+    d = datasets.select("dataset_id", "file_id", "title")
+    return found.join(d, "dataset_id", "left").join(nodes.select("file_id", "name"), "file_id", "left")
+
+
+def counters(rows: DataFrame, by: Sequence[str], state: str, states: Sequence[str]) -> DataFrame:
+    """(by..., total, one column for each state): grouped counts, one row for each group."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col(state) == s).alias(s) for s in states))
+
+
+def listing(rows: DataFrame, order: Sequence[str], text: Column, k: int = 50) -> DataFrame:
+    """(position, line): the first ``k`` lines (the listing's length) and, if there are more, one that says how many."""
+    from pyspark.sql import Window
+
+    first = rows.orderBy(*order).limit(k).select(F.row_number().over(Window.orderBy(*order)).alias("position"), text.alias("line"))
+    rest = rows.agg((F.count(F.lit(1)) - k).alias("n")).where(F.col("n") > 0)
+    return first.unionByName(rest.select(F.lit(k + 1).alias("position"), F.concat(F.lit("+"), F.col("n").cast("string"), F.lit(" more")).alias("line")))

@@ -15,6 +15,7 @@ from tallyline.functions.hashing import bucket_of, extra_hash, folded_row_hash,
 from tallyline.functions.identifiers import is_ulid
 from tallyline.functions.text import text_token
 from tallyline.plans.contract import Contract, default_contract, slugify_all, spec_version, validate
+from tallyline.sources.scratch import store
 
 
 @dataclass
@@ -116,17 +117,37 @@ def stage(
 def flag_duplicates(staged: DataFrame) -> DataFrame:
     """``n_identity`` and ``n_natural``: rows that share the identity and the natural key (0 without one).
 
-    Counted by aggregation and joined back rather than by a window, so that one frequent key does not hold a task.
+    The staged rows are stored once. Counts are partial sums before their shuffle; those over 1 come back by ``join_counts``,
+    which keeps the rows of a frequent key apart.
     """
-    def counted(df: DataFrame, key: str, name: str) -> DataFrame:
-        n = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > 1)
-        return df.join(n, key, "left").withColumn(name, F.coalesce(name, F.when(F.col(key).isNotNull(), 1).otherwise(0)).cast("bigint"))
-
     columns = staged.columns
-    out = counted(counted(staged, "key", "n_identity"), "natural_key", "n_natural")
+    out = rows = store(staged, "staged")
+    for key, name in (("key", "n_identity"), ("natural_key", "n_natural")):
+        n = store(rows.groupBy(key).agg(F.count(F.lit(1)).alias(name)).where((F.col(name) > 1) & F.col(key).isNotNull()), "counts")
+        out = join_counts(out, n, key, name).withColumn(name, F.coalesce(name, F.when(F.col(key).isNotNull(), 1).otherwise(0)).cast("bigint"))
     return out.select(*columns, "n_identity", "n_natural")
 
 
+#: Keys of more than 1/HOT of the counted rows, so fewer than HOT, reach their rows by a broadcast.
+HOT = 500
+
+
+def join_counts(rows: DataFrame, counts: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` left-joined with the stored ``counts`` (key, name = rows of the key): frequent keys by broadcast, the others by shuffle.
+
+    Rows of frequent keys and rows without a key take no part in the shuffle's key: they are dealt by a hash of the row.
+    """
+    total = counts.agg(F.sum(name)).first()[0] or 0
+    hot = counts.where(F.col(name) > total / HOT).select(F.col(key).alias("__hot"), F.col(name).alias("__hot_n"))
+    cold = counts.where(F.col(name) <= total / HOT).select(F.col(key).alias("__cold"), F.lit(0).cast("bigint").alias("__zero"), F.col(name).alias("__cold_n"))
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    away = F.col("__hot").isNotNull() | F.col(key).isNull()
+    simple = [c for c, t in rows.dtypes if not t.startswith(("map", "array", "struct"))]
+    out = out.withColumn("__salt", F.when(away, F.pmod(F.xxhash64(*simple), F.lit(1 << 20)) + 1).otherwise(F.lit(0).cast("bigint")))
+    out = out.join(cold, (F.coalesce(F.col(key), F.lit("").cast(dict(rows.dtypes)[key])) == F.col("__cold")) & (F.col("__salt") == F.col("__zero")), "left")
+    return out.select(*rows.columns, F.coalesce("__hot_n", "__cold_n").alias(name))
+
+
 def quarantine_duplicates(flagged: DataFrame) -> DataFrame:
     """Duplicate identities outrank unreadable cells, these a missing required value."""
     twice = (F.col("n_identity") > 1) | (F.col("n_natural") > 1)

@@ -19,6 +19,7 @@ from tallyline.operators import compare, identity, merkle, profile, reporting, s
 from tallyline.operators.staging import Snapshot
 from tallyline.plans import layered, planner
 from tallyline.plans.contract import Contract, spec_version
+from tallyline.registry import ORACLES, QUERIES, query, table
 from tallyline.sources import listings, state
 from tallyline.sources.scratch import store
 from tallyline.streaming import replay
@@ -33,24 +34,6 @@ CUSTOMER = (
 NOW = datetime(2026, 1, 15, tzinfo=timezone.utc)
 UID = "tree/0"
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def perturbed(customers: DataFrame) -> DataFrame:
     k = F.col("c_custkey")
     balance = F.col("c_acctbal").cast("decimal(38,2)")
@@ -99,10 +82,8 @@ def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT 'missing_in_source' FROM r ANTI JOIN l USING (k)
 ) SELECT outcome, count(*) AS n FROM found GROUP BY outcome""")
 def verify_customers(spark, sf_dir):
-    both = comparison(spark, sf_dir)
-    worst = compare.field_differences(both.where(F.col("status") == "matched"), CUSTOMER).groupBy("key").agg(F.max("delta_class").alias("delta"))
-    out = both.join(worst, "key", "left")
-    outcome = F.when(F.col("status") != "matched", F.col("status")).otherwise(F.coalesce("delta", F.lit("equal")))
+    out = comparison(spark, sf_dir)
+    outcome = F.when(F.col("status") != "matched", F.col("status")).otherwise(F.coalesce(compare.worst_difference(CUSTOMER), F.lit("equal")))
     return out.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -125,7 +106,8 @@ def finding_rollup(spark, sf_dir):
 SELECT (SELECT count(*) FROM diffs) + (SELECT count(*) FROM l ANTI JOIN r USING (k)) + (SELECT count(*) FROM r ANTI JOIN l USING (k)) AS drift_count,
        0::BIGINT AS data_quality_count, 0::BIGINT AS structural_count, 'drift' AS result""")
 def verify_summary(spark, sf_dir):
-    return compare.summary(compare.findings(comparison(spark, sf_dir), CUSTOMER))
+    left, right = (store(s.rows.select("key", "canon", "h_row"), "side") for s in sides(spark, sf_dir))
+    return compare.summary(compare.findings(compare.unequal_comparison(left, right), CUSTOMER))
 
 
 @query(f"""WITH {_FIELDS}
@@ -193,7 +175,8 @@ def bucket_diff(spark, sf_dir):
     return merkle.diff_buckets(*map(layered.bucket_table, sides(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {_FIELDS} SELECT (SELECT count(*) FROM diffs) + (SELECT count(*) FROM l ANTI JOIN r USING (k)) + (SELECT count(*) FROM r ANTI JOIN l USING (k)) AS drift_count,
+  0::BIGINT AS data_quality_count, 0::BIGINT AS structural_count, 'drift' AS result, 'rows' AS mode""")
 def layered_verification(spark, sf_dir):
     left, right = sides(spark, sf_dir)
     v = layered.verify(left, right)
@@ -283,7 +266,7 @@ UNION ALL SELECT 'c_nationkey', count(c_nationkey), count(DISTINCT c_nationkey)
 UNION ALL SELECT 'c_acctbal', count(c_acctbal), count(DISTINCT c_acctbal) FROM customer
 UNION ALL SELECT 'c_mktsegment', count(c_mktsegment), count(DISTINCT c_mktsegment) FROM customer""")
 def column_profile(spark, sf_dir):
-    return profile.profile(table(spark, sf_dir, "customer")).drop("kind")
+    return profile.profile(table(spark, sf_dir, "customer")).select("column", "nonempty", "distinct")
 
 
 @query("""WITH x AS (SELECT sum(l_quantity::VARCHAR::DECIMAL(38,18)) AS q, sum(l_extendedprice::VARCHAR::DECIMAL(38,18)) AS p,
@@ -608,9 +591,19 @@ def clip_values(spark, sf_dir):
     return reporting.clip(table(spark, sf_dir, "documents"), ["text"]).select("doc_id", F.col("text").alias("clipped"))
 
 
-@query()
+@query(f"""WITH {_FIELDS}, found AS (
+  SELECT k, 'field_mismatch' AS finding, field FROM diffs
+  UNION ALL SELECT k, 'missing_in_target', NULL FROM l ANTI JOIN r USING (k) UNION ALL SELECT k, 'missing_in_source', NULL FROM r ANTI JOIN l USING (k)
+), hashed AS (
+  SELECT sha256(concat_ws(chr(31), k::VARCHAR, finding, coalesce(field, chr(0)))) AS h FROM found
+), lines AS (SELECT h, count(*) AS n FROM hashed GROUP BY h
+), parts AS (SELECT substr(h, 1, 3) AS g, sha256(string_agg(h || ':' || n || ';', '' ORDER BY h)) AS d FROM lines GROUP BY 1
+) SELECT sha256(string_agg(d, '' ORDER BY g)) AS fingerprint FROM parts""")
 def findings_fingerprint(spark, sf_dir):
-    return reporting.fingerprint(compare.findings(comparison(spark, sf_dir), CUSTOMER), ["key", "finding", "field", "source_token", "target_token"])
+    both = comparison(spark, sf_dir).withColumn("custkey", F.coalesce("l.c_custkey", "r.c_custkey"))
+    found = both.where("status <> 'matched'").select("custkey", F.col("status").alias("finding"), F.lit(None).cast("string").alias("field"))
+    found = found.unionByName(compare.field_differences(both.where("status = 'matched'"), CUSTOMER, keep=("custkey",)).select("custkey", "finding", "field"))
+    return reporting.fingerprint(found, ["custkey", "finding", "field"])
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 97 = 0 THEN (CASE c_custkey % 3 WHEN 0 THEN 'resolved_externally' WHEN 1 THEN 'applied' ELSE 'resolved_externally' END)
@@ -629,8 +622,11 @@ def domain_filter(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from tallyline import state_queries  # noqa: F401  registers the rest
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    queries()
+    return dict(ORACLES)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests, one machine), a temporary folder is made and set."""
+    """``spark.checkpoint.dir``; where it is unset on one machine (tests), a temporary folder is made and set; elsewhere an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tallyline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -117,3 +117,16 @@ def report_html(title: str, summary_row: dict, rows: Sequence[dict]) -> str:
     names = list(rows[0]) if rows else []
     body = "".join("<tr>" + "".join(f"<td>{e(r[n])}</td>" for n in names) + "</tr>" for r in rows)
     return f"<!doctype html><title>{e(title)}</title><h1>{e(title)}</h1><table>{head}</table><table><tr>{''.join(f'<th>{e(n)}</th>' for n in names)}</tr>{body}</table>"
+
+
+def stored_nodes(nodes: DataFrame, mime: str | None = None, include_missing: bool = False) -> DataFrame:
+    """Nodes of a media type, by default those that aren't missing."""
+    if mime is not None:
+        nodes = nodes.where(F.col("mime") == mime)
+    return nodes if include_missing else nodes.where(F.col("missing_since").isNull())
+
+
+def last_run(runs: DataFrame, by: Sequence[str] = ("kind",)) -> DataFrame:
+    """The newest run (largest id) of each kind."""
+    rest = [c for c in runs.columns if c not in by]
+    return runs.groupBy(*by).agg(F.max_by(F.struct(*rest), "id").alias("r")).select(*by, "r.*")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tallyline.sources.cursors import MetaStore
 from tallyline.sources.listings import replay
 
 
@@ -47,6 +48,10 @@ class ReplaySink:
         if state is None:
             state = changes.select("id", *(F.col(f"file.{c}").alias(c) for c in self.columns)).limit(0)
         replay(state, changes, self.columns).write.mode("overwrite").parquet(f"{self.path}/v{epoch}")
+        # A repeated batch reads the version before its own: the two newest stay.
+        for v in self._versions(spark)[:-2]:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def start_replay(changes: DataFrame, sink: ReplaySink, checkpoint: str, **trigger) -> StreamingQuery:
@@ -62,13 +67,21 @@ def needs_full_scan(cursor: str | None, valid: bool, age_seconds: float | None,
 def absence(scans: DataFrame, seen: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, missing_run_count, missing_since) after ordered scans (scan, at, complete) with sightings (scan, key).
 
-    Counts the complete scans since the last sighting; incomplete scans neither count nor reset.
+    Counts the complete scans since the last sighting; incomplete scans neither count nor reset. How many complete scans
+    follow each scan, and when the next one was, is worked out once over the list of scans (a row each, so one window over
+    them is small); keys join it by their last sighting.
     """
+    from pyspark.sql import Window
+
     last = seen.groupBy("key").agg(F.max("scan").alias("last"))
     base = keys.select("key").distinct().join(last, "key", "left")
-    complete = F.broadcast(scans.where("complete").groupBy().agg(F.sort_array(F.collect_list(F.struct("scan", "at"))).alias("scans")))
-    both = base.join(complete, how="left").withColumn("missed", F.filter("scans", lambda s: F.col("last").isNull() | (s["scan"] > F.col("last"))))
-    return both.select("key", F.size("missed").cast("bigint").alias("missing_run_count"), F.when(F.size("missed") > 0, F.element_at("missed", 1)["at"]).alias("missing_since"))
+    known = scans.where("complete").select("scan", "at", F.lit(1).alias("counts"))
+    points = known.unionByName(seen.select("scan").distinct().select("scan", F.lit(None).cast(dict(scans.dtypes)["at"]).alias("at"), F.lit(0).alias("counts")))
+    points = points.unionByName(known.limit(0).unionByName(scans.sparkSession.range(1).select(F.lit(None).cast(dict(scans.dtypes)["scan"]).alias("scan"), F.lit(None).cast(dict(scans.dtypes)["at"]).alias("at"), F.lit(0).alias("counts"))))
+    one = points.groupBy("scan").agg(F.sum("counts").alias("counts"), F.min("at").alias("at"))
+    after = Window.orderBy("scan").rowsBetween(1, Window.unboundedFollowing)  # the null scan comes first: before all
+    lookup = one.select(F.col("scan").alias("__scan"), F.coalesce(F.sum("counts").over(after), F.lit(0)).cast("bigint").alias("missing_run_count"), F.first("at", ignorenulls=True).over(after).alias("missing_since"))
+    return base.join(lookup, F.col("last").eqNullSafe(F.col("__scan"))).select("key", "missing_run_count", "missing_since")
 
 
 def absence_function() -> Callable:
@@ -98,10 +111,14 @@ def absence_stream(sightings: DataFrame) -> DataFrame:
 
 
 class AlertOnChange:
-    """``foreachBatch`` target that calls ``send`` only when the findings' fingerprint differs from the last one sent."""
+    """``foreachBatch`` target that calls ``send`` only when the findings' fingerprint differs from the last one sent.
+
+    With a ``memory`` (``sources.cursors.MetaStore``) the last fingerprint outlives a restart; it is written after sending.
+    """
 
-    def __init__(self, columns: Sequence[str], send: Callable[[str, int], None], last: str = ""):
-        self.columns, self.send, self.last = list(columns), send, last
+    def __init__(self, columns: Sequence[str], send: Callable[[str, int], None], last: str = "", memory: MetaStore | None = None, name: str = "alert"):
+        self.columns, self.send, self.memory, self.name = list(columns), send, memory, name
+        self.last = (memory.get(name) if memory else None) or last
 
     def __call__(self, found: DataFrame, epoch: int) -> None:
         from tallyline.operators.reporting import fingerprint
@@ -110,6 +127,8 @@ class AlertOnChange:
         if now != self.last:
             self.send(now, found.count())
             self.last = now
+            if self.memory:
+                self.memory.put(self.name, now)
 
 
 def backoff(failures: int, interval: float, first: float = 5.0) -> float:
