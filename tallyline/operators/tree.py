@@ -7,18 +7,15 @@ import posixpath
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.sources.scratch import store
+
 MAX_DEPTH = 64
 ORPHANS = "/(orphans)"
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage within a loop: through the shared checkpoint folder if one is set, else eagerly cached plans go on."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        spark.sparkContext.setCheckpointDir(base)
-        return df.checkpoint()
-    return df
+    """Cut lineage within a loop by a table in the shared folder."""
+    return store(df, "level")
 
 
 def resolve_parents(nodes: DataFrame) -> DataFrame:

@@ -59,12 +59,16 @@ def retain(df: DataFrame, at: str, now: Column, days: int) -> DataFrame:
 
 
 def keep_versions(df: DataFrame, key: str, order: str, n: int = 5, protect: Column | None = None) -> DataFrame:
-    """The latest ``n`` versions of each key (a retention rule), and protected ones."""
+    """The latest ``n`` versions of each key (a retention rule), and protected ones. (key, order) is unique.
+
+    The bound on the rank is pushed below the shuffle, so of a key with very many versions ``n`` a task move.
+    """
     from pyspark.sql import Window
 
-    ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))))
-    keep = F.col("__n") <= n
-    return ranked.where(keep if protect is None else keep | protect).drop("__n")
+    top = df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("__n") <= n).drop("__n")
+    if protect is None:
+        return top
+    return top.unionByName(df.where(protect).join(top.select(key, order), [key, order], "left_anti").select(df.columns))
 
 
 def add_column(df: DataFrame, name: str, default: Column) -> DataFrame:
