@@ -132,7 +132,10 @@ def _dedup(rows: DataFrame) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``dedup`` doesn't keep; columns as they were."""
+    """``docs`` without the rows that ``dedup`` doesn't keep; columns as they were.
+
+    Of null and empty texts one row stays, of repeated rows one; an empty table gives an empty one.
+    """
     rid = fresh(docs.columns, "rid")
     numbered = materialize(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
     rows = numbered.select(F.col(rid).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -14,7 +14,7 @@
    central text. After each round all links so far are joined into classes, and only pairs of different classes
    are tried further: those that share a finer bucket (of three further samples). Small finer buckets are compared in
    full; in larger ones a text meets the most central one, then growing parts of the bucket until it has met every
-   member that is not in its class, but for those whose total weights differ too much or that agree on too few of 512
+   member that is not in its class, but for those whose total weights differ too much or that agree on too few of 1,024
    further samples. So texts of one class are not paired again, whatever hubs joined them; other members of a large
    bucket go unpaired only if they agree on none of nine triples of samples, which at the threshold happens to
    0.2 % of pairs, for each of the bands.
@@ -50,7 +50,7 @@ TRIPLES = BANDS * ROWS // 3
 AGREEING = 22
 #: In finer buckets, two bits of each of so many further samples, and how many must agree: at the threshold 85 % do, so the
 #: bound is four standard deviations lower: 1 in 30,000 pairs at the threshold is missed here, hardly any above it.
-FURTHER, FURTHER_AGREEING = 512, 402
+FURTHER, FURTHER_AGREEING = 1024, 824
 BROADCAST_IDS = 1_000_000
 CHUNK_SHINGLES = 250_000
 #: Counters of all shingles, and the rows that carry them.
@@ -310,7 +310,7 @@ def signature_table(table: DataFrame, weights: Weights, bands: int = BANDS, rows
 
 
 def bit_sketches(table: DataFrame, rids: DataFrame, weights: Weights) -> DataFrame:
-    """(rid, bits): two bits of each of 512 further samples, for the texts of large buckets alone."""
+    """(rid, bits): two bits of each of ``FURTHER`` further samples, for the texts of large buckets alone."""
     few = rids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     chosen = table.select("rid", "shingles").join(F.broadcast(rids) if few else rids, "rid", "left_semi")
 
@@ -331,6 +331,21 @@ def bit_sketches(table: DataFrame, rids: DataFrame, weights: Weights) -> DataFra
     return chosen.mapInArrow(lean(run), "rid long, bits array<long>")
 
 
+#: The (band, triple) of every finer bucket, as ``band * TRIPLES + triple``: the triple's samples lie outside the band.
+_PLACES = [b * TRIPLES + j for b in range(BANDS) for j in range(TRIPLES) if b not in {(j + i * TRIPLES) // ROWS for i in range(3)}]
+
+
+def _first_met() -> Column:
+    """Whether a pair meets in the first of the finer buckets that it shares.
+
+    Of two texts of different classes every shared finer bucket either stays until their classes are one, or is small
+    and was compared in full, so that one bucket is enough.
+    """
+    same = lambda kind, i: F.get(F.col(kind), i) == F.get(F.col(f"h_{kind}"), i)
+    places = F.array(*map(F.lit, _PLACES))
+    return ~F.exists(places, lambda p: (p < F.col("at")) & same("buckets", F.floor(p / TRIPLES).cast("int")) & same("triples", p % TRIPLES))
+
+
 def _bits_agree(a: str, b: str) -> Column:
     """How many of the two-bit samples of two texts are equal."""
     low, out = F.lit(0x5555555555555555), F.lit(FURTHER)
@@ -381,17 +396,19 @@ def links(members: DataFrame, signed: DataFrame, table: DataFrame, weights: Weig
         F.sequence(F.lit(0), F.lit(TRIPLES - 1)),
         lambda j: (F.floor(j / ROWS) != F.col("band")) & (F.floor((j + TRIPLES) / ROWS) != F.col("band")) & (F.floor((j + 2 * TRIPLES) / ROWS) != F.col("band")),
     )
-    keys = F.transform(apart, lambda j: F.xxhash64(F.col("bucket"), j, F.element_at("triples", j + 1)))
-    finer = waiting.join(signed.select("rid", "triples"), "rid").select(F.explode(keys).alias("bucket"), "rid", "central", "weight", "label")
+    keys = F.transform(apart, lambda j: F.struct((F.col("band") * TRIPLES + j).cast("int").alias("at"), F.xxhash64(F.col("bucket"), j, F.element_at("triples", j + 1)).alias("bucket")))
+    finer = waiting.join(signed.select("rid", "triples"), "rid").select(F.explode(keys).alias("k"), "rid", "central", "weight", "label")
+    finer = finer.select("k.bucket", "k.at", "rid", "central", "weight", "label")
     sizes = finer.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "label"))["label"].alias("home"))
     sizes = materialize(sizes.where(F.col("classes") > 1).drop("classes"), "buckets")
     finer = materialize(attach(finer, ["bucket"], sizes, "n", F.col("rid")).where(F.col("n").isNotNull()), "finer")
     search.try_pairs(_all_pairs(finer.where(F.col("n") <= SMALL)))
-    large = finer.where(F.col("n") > SMALL).select("bucket", "rid", "central", "weight", "home")
+    large = finer.where(F.col("n") > SMALL).select("bucket", "at", "rid", "central", "weight", "home")
     bits = bit_sketches(table, materialize(large.select("rid").distinct(), "large"), weights)
     part = F.pmod(F.xxhash64("rid"), F.lit(HUB_PARTS[-1])).alias("part")
-    large = materialize(large.join(materialize(bits, "bits"), "rid").select("bucket", "rid", "central", "weight", F.col("bits").alias("sketch"), "home", part), "large")
+    bits = materialize(bits.join(signed.select("rid", "buckets", "triples"), "rid"), "bits")
+    large = materialize(large.join(bits, "rid").select("bucket", "at", "rid", "central", "weight", F.col("bits").alias("sketch"), "home", part, "buckets", "triples"), "large")
     left = search.apart(large)
     search.meet_hubs(_central(left), left.where("open"))
     for low, high in zip((0, *HUB_PARTS), HUB_PARTS):
@@ -422,21 +439,27 @@ class _Search:
     """Pairs tried and links found so far."""
 
     def __init__(self, table: DataFrame, weights: Weights, threshold: float):
-        self.table, self.weights, self.threshold, self.tried, self.edges = table, weights, threshold, None, None
+        self.table, self.weights, self.threshold, self.tried, self.edges, self.labels = table, weights, threshold, None, None, None
 
     def try_pairs(self, pairs: DataFrame) -> None:
         pairs = pairs.distinct()
         pairs = materialize(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"), "pairs")
+        if self.tried is not None and not pairs.limit(1).count():
+            return
         found = materialize(verify(pairs, self.table, self.weights, self.threshold), "links")
-        self.tried = pairs if self.tried is None else materialize(self.tried.unionByName(pairs), "tried")
-        self.edges = found if self.edges is None else materialize(self.edges.unionByName(found), "links")
+        # Stored tables, one for each of the few rounds.
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        self.edges = found if self.edges is None else self.edges.unionByName(found)
+        self.labels = None
 
     def apart(self, members: DataFrame) -> DataFrame:
         """The members of buckets that hold texts of different classes, by the links so far.
 
         ``label`` is a text's class; a text is ``open`` while it is not in the class of the text ``home``, one for each bucket.
         """
-        labels = materialize(components(self.edges), "classes")
+        if self.labels is None:
+            self.labels = components(self.edges)
+        labels = self.labels
         members = members.select(*(c for c in members.columns if c not in ("label", "home_label", "open")))
         members = members.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
         homes = labels.select(F.col("rid").alias("home"), F.col("label").alias("home_label"))
@@ -446,14 +469,14 @@ class _Search:
 
     def meet_hubs(self, hubs: DataFrame, left: DataFrame, first: Column | None = None, fine: bool = True) -> None:
         """Compare what is left in each bucket with the bucket's hubs, but for those of its class."""
-        taken = ("bucket", "rid", "weight", "sketch", "label", "open")
+        taken = ("bucket", "rid", "weight", "sketch", "label", "open", "buckets", "triples")
         hubs = hubs.join(left.select("bucket").distinct(), "bucket", "left_semi")
         hubs = hubs.select(*(F.col(c).alias("hub" if c == "rid" else f"h_{c}") for c in taken if c in hubs.columns))
         hubs = materialize(hubs, "hubs")
         # A similarity is at most the lighter text's weight over the heavier's, and shows in the samples' agreement.
         alike = F.least("weight", "h_weight") >= self.threshold * F.greatest("weight", "h_weight") * 0.999999
         if fine:
-            agree = (_bits_agree("sketch", "h_sketch") >= FURTHER_AGREEING) & (F.col("label") != F.col("h_label"))
+            agree = (F.col("label") != F.col("h_label")) & (_bits_agree("sketch", "h_sketch") >= FURTHER_AGREEING) & _first_met()
         else:
             agree = F.size(F.filter(F.zip_with("sketch", "h_sketch", lambda x, y: x == y), lambda x: x)) >= AGREEING
         fits = alike & agree if first is None else first & alike & agree
@@ -463,13 +486,12 @@ class _Search:
 
 def components(edges: DataFrame) -> DataFrame:
     """(rid, label) of every linked row: the least row id of its component."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both, "both-ways")
+    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both-ways")
     labels = materialize(both.groupBy(F.col("a").alias("rid")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("rid").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("l"))
+        # Read twice below; Spark reuses the exchange of its aggregation.
         better = labels.join(near, F.col("rid") == F.col("v"), "left").select("rid", F.col("label").alias("old"), F.least("label", "l").alias("label"))
-        better = materialize(better, "labels")
         jump = better.join(better.select(F.col("rid").alias("t"), F.col("label").alias("further")), F.col("label") == F.col("t"), "left")
         jumped = materialize(jump.select("rid", "old", F.least("label", "further").alias("label")), "labels")
         if not jumped.where(F.col("old") != F.col("label")).limit(1).count():
