@@ -56,9 +56,12 @@ def point_lookup(spark, sf_dir):
 
 @query("""WITH f AS (SELECT c_custkey AS k, 1 + c_custkey % 4 AS n FROM customer)
 SELECT k::VARCHAR AS subject, CASE WHEN k % 17 = 0 AND n > 2 THEN n - 1 ELSE n END AS pages, r.reason IS NULL AS complete, r.reason, CASE WHEN r.reason IS NULL THEN 'new' || k END AS cursor
-FROM (SELECT *, CASE WHEN k % 11 = 0 AND n > 2 THEN 'repeated_token' WHEN k % 17 = 0 AND n > 2 THEN 'missing_page' WHEN k % 7 = 0 AND n >= 4 THEN 'too_many_pages' WHEN k % 7 = 0 THEN 'unfinished' WHEN k % 13 = 0 THEN 'no_new_token' END AS reason FROM f) r""")
+FROM (SELECT *, CASE WHEN k % 11 = 0 AND (n > 3 OR n = 3 AND k % 17 <> 0) THEN 'repeated_token' WHEN k % 17 = 0 AND n > 2 THEN 'missing_page' WHEN k % 7 = 0 AND n >= 4 THEN 'too_many_pages' WHEN k % 7 = 0 THEN 'unfinished' WHEN k % 13 = 0 THEN 'no_new_token' END AS reason FROM f) r""")
 def feed_states(spark, sf_dir):
-    """Change feeds of one to four pages with faults: repeated tokens, missing pages, unfinished and overlong feeds, no new start token."""
+    """Change feeds of one to four pages with faults: repeated tokens, missing pages, unfinished and overlong feeds, no new start token.
+
+    Where a feed of three pages has both of the first two faults, the missing page is the one that repeats the token.
+    """
     k, n, p = F.col("c_custkey"), F.col("n"), F.col("page")
     pages = table(spark, sf_dir, "customer").select(k, (1 + k % 4).cast("int").alias("n")).withColumn("page", F.explode(F.sequence(F.lit(0), n - 1)))
     last = p == n - 1

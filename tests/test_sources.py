@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tallyline.operators import reporting, tree
-from tallyline.sources import listings, state, xlsx
+from tallyline.sources import cursors, listings, state, xlsx
 from tallyline.streaming import replay
 
 
@@ -18,6 +18,16 @@ def test_listing_pages(spark):
     assert listings.enumerate_files(bad).reasons == ("repeated_token", "missing_page", "incomplete_search")
 
 
+def test_feeds_with_two_faults(spark):
+    """A repeated token outranks a missing page, but only while both pages that carry it are there."""
+    feeds = {"whole": (0, 1, 2), "three": (0, 2), "four": (0, 1, 3)}
+    rows = [(s, p, f"t{p}", None if p == max(ps) else "t1" if s != "whole" else f"t{p + 1}", f"new-{s}" if p == max(ps) else None, None) for s, ps in feeds.items() for p in ps]
+    found = cursors.feed_state(spark.createDataFrame(rows, cursors.CHANGE_PAGE_SCHEMA)).collect()
+    assert {r["subject"]: (r["pages"], r["complete"], r["reason"], r["cursor"]) for r in found} == {
+        "whole": (3, True, None, "new-whole"), "three": (2, False, "missing_page", None), "four": (3, False, "repeated_token", None)
+    }
+
+
 def test_typed_cells(spark, tmp_path):
     book = {"spreadsheetId": "f", "sheets": [
         {"properties": {"sheetId": 5, "title": "T", "index": 0, "sheetType": "GRID"}, "data": [{"startRow": 2, "rowData": [{"values": [
