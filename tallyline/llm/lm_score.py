@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import lean, materialize, remove, slices, small_batches, texts_of
+from tallyline.llm.common import lean, materialize, slices, small_batches, sweep, texts_of
 from tallyline.llm.encoders import _Cache
 
 ORDER = 2
@@ -107,6 +107,23 @@ def _counts(data: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
+def _gaps(keys: np.ndarray) -> bytes:
+    """Sorted hashes as the first one and the gaps between them, in as few bytes as the largest gap takes: six, mostly."""
+    gaps = np.diff(keys)
+    width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
+    return struct.pack("<BQ", width, int(keys[0])) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _from_gaps(data: bytes) -> np.ndarray:
+    width, first = struct.unpack_from("<BQ", data)
+    cells = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    wide = np.zeros((len(cells) + 1, 8), np.uint8)
+    wide[1:, :width] = cells
+    gaps = wide.reshape(-1).view("<u8")
+    gaps[0] = first
+    return np.cumsum(gaps, dtype=_U)
+
+
 def _packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -159,7 +176,7 @@ def _questions(rows: DataFrame, order: int, shards: int) -> DataFrame:
                 counts = np.bincount(index[train & (index >= 0)], minlength=len(keys))
                 cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
                 ranges = [(s, a, b) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-                yield _rows([(block, s, GRAMS, k, keys[a:b].tobytes(), _small(counts[a:b])) for s, a, b in ranges])
+                yield _rows([(block, s, GRAMS, k, _gaps(keys[a:b]), _small(counts[a:b])) for s, a, b in ranges])
 
     return rows.mapInArrow(lean(run), _SCHEMA)
 
@@ -172,13 +189,13 @@ def _answers(questions: DataFrame, shards: int) -> DataFrame:
 
         def done() -> Iterator[pa.RecordBatch]:
             for k, parts in sorted(asked.items()):
-                keys = np.concatenate([np.frombuffer(keys, _U) for _, keys, _ in parts])
-                distinct, at = np.unique(keys, return_inverse=True)
+                keys = [_from_gaps(keys) for _, keys, _ in parts]
+                distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
                 own = np.concatenate([_counts(counts) for _, _, counts in parts])
                 total = np.bincount(at, own, len(distinct)).astype(np.int64)
                 if k == 1:
                     yield _rows([(-1, shard, SUMS, k, None, struct.pack("<qq", int(own.sum()), int(np.count_nonzero(total))))])
-                ends = np.cumsum([len(keys) // 8 for _, keys, _ in parts])[:-1]
+                ends = np.cumsum(list(map(len, keys)))[:-1]
                 yield _rows([(block, shard, GRAMS, k, None, _small(x)) for (block, _, _), x in zip(parts, np.split(total[at], ends))])
 
         for batch in batches:
@@ -316,6 +333,7 @@ def lm_score(docs: DataFrame, *, out: Column | None = None, id_col: str = "doc_i
     size, texts = rows.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // SHARD_BYTES + 1)
     answers = materialize(_answers(_questions(rows, order, shards), shards), "lm-answers")
+    sweep(spark)  # the questions' shuffle is the largest
     sums = answers.where(F.col("kind") == SUMS).select("counts")
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
