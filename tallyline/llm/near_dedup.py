@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import attach, fresh, lean, materialize, slices, small_batches, texts_of
+from tallyline.llm.common import attach, fresh, lean, materialize, remove, slices, small_batches, sweep, texts_of
 from tallyline.llm.encoders import _Cache
 
 WORDS = 5
@@ -357,7 +357,7 @@ def _bits_agree(a: str, b: str) -> Column:
 
 def verify(pairs: DataFrame, table: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs (a, b) of row ids that reach the threshold. The texts move by their multisets."""
-    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "needed")
+    needed = materialize(pairs.select(F.col("a").alias("rid")).distinct().unionByName(pairs.select(F.col("b").alias("rid")).distinct()).distinct(), "needed")
     few = needed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     sets = table.select("rid", "shingles").join(F.broadcast(needed) if few else needed, "rid", "left_semi")
     of_b = pairs.join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("of_b")), "b")
@@ -376,6 +376,12 @@ def verify(pairs: DataFrame, table: DataFrame, weights: Weights, threshold: floa
 
 def links(members: DataFrame, signed: DataFrame, table: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links (a < b) among the members (bucket, band, rid) of buckets; ``signed`` is the signature table."""
+    return _search(members, signed, table, weights, threshold).edges
+
+
+def _search(members: DataFrame, signed: DataFrame, table: DataFrame, weights: Weights, threshold: float) -> _Search:
+    """The links of all buckets, and the classes that they make."""
+    spark = table.sparkSession
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     active = attach(members, ["bucket"], materialize(buckets, "buckets"), "n", F.col("rid")).where(F.col("n").isNotNull())
     active = materialize(active, "active")
@@ -387,11 +393,12 @@ def links(members: DataFrame, signed: DataFrame, table: DataFrame, weights: Weig
     info = signed.select("rid", "weight", "sketch")
     pool = materialize(active.where(F.col("n") > SMALL).join(central, "rid").join(info, "rid").select("bucket", "band", "rid", "central", "weight", "sketch"), "pool")
     if not pool.limit(1).count():
-        return search.edges
+        return search
     hubs = materialize(_central(pool), "central")
     search.meet_hubs(hubs, pool, fine=False)
     # What is not in the hub's class shares less with it; finer buckets within the bucket part such texts further.
     waiting = search.apart(pool.join(hubs.select("bucket", F.col("rid").alias("home")), "bucket"))
+    remove(spark, active, pool, hubs)
     apart = F.filter(
         F.sequence(F.lit(0), F.lit(TRIPLES - 1)),
         lambda j: (F.floor(j / ROWS) != F.col("band")) & (F.floor((j + TRIPLES) / ROWS) != F.col("band")) & (F.floor((j + 2 * TRIPLES) / ROWS) != F.col("band")),
@@ -409,7 +416,9 @@ def links(members: DataFrame, signed: DataFrame, table: DataFrame, weights: Weig
     part = F.pmod(F.xxhash64("rid"), F.lit(HUB_PARTS[-1])).alias("part")
     bits = materialize(bits.join(signed.select("rid", "buckets", "triples"), "rid"), "bits")
     large = materialize(large.join(bits, "rid").select("bucket", "at", "rid", "central", "weight", F.col("bits").alias("sketch"), "home", part, "buckets", "triples"), "large")
+    remove(spark, waiting, finer)
     left = search.apart(large)
+    remove(spark, large)
     search.meet_hubs(_central(left), left.where("open"))
     for low, high in zip((0, *HUB_PARTS), HUB_PARTS):
         left = search.apart(left)
@@ -418,7 +427,8 @@ def links(members: DataFrame, signed: DataFrame, table: DataFrame, weights: Weig
         # Pairs of open texts were tried, or in one class, when the earlier of them was a hub: what is open once was open before.
         first = ~F.col("h_open") | (F.col("part") >= high) | ((F.col("part") >= low) & (F.col("rid") < F.col("hub")))
         search.meet_hubs(left.where((F.col("part") >= low) & (F.col("part") < high)), left.where("open"), first)
-    return search.edges
+    remove(spark, left)
+    return search
 
 
 def _central(pool: DataFrame) -> DataFrame:
@@ -436,10 +446,12 @@ def _all_pairs(members: DataFrame) -> DataFrame:
 
 
 class _Search:
-    """Pairs tried and links found so far."""
+    """Pairs tried and links found so far, and the classes (rid, label) of what they link."""
 
     def __init__(self, table: DataFrame, weights: Weights, threshold: float):
         self.table, self.weights, self.threshold, self.tried, self.edges, self.labels = table, weights, threshold, None, None, None
+        #: What ``apart`` returned since the classes last changed.
+        self.settled: DataFrame | None = None
 
     def try_pairs(self, pairs: DataFrame) -> None:
         pairs = pairs.distinct()
@@ -450,22 +462,45 @@ class _Search:
         # Stored tables, one for each of the few rounds.
         self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
         self.edges = found if self.edges is None else self.edges.unionByName(found)
-        self.labels = None
+        self.join_classes(found)
+        sweep(pairs.sparkSession)
+
+    def join_classes(self, found: DataFrame) -> None:
+        """The classes after new links: only classes that a link joins are looked at."""
+        if self.labels is None:
+            self.labels = components(found)
+            return
+        labels = self.labels
+        ends = found.select("a", "b")
+        for end in ("a", "b"):
+            ends = ends.join(labels.select(F.col("rid").alias(end), F.col("label").alias(f"of_{end}")), end, "left")
+        between = ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        between = materialize(between, "between")
+        if between.limit(1).count():
+            merged = components(between)
+            moved = labels.join(merged.select(F.col("rid").alias("label"), F.col("label").alias("least")), "label", "left")
+            new = merged.join(labels, "rid", "left_anti").select("rid", "label")
+            self.labels = materialize(moved.select("rid", F.coalesce("least", "label").alias("label")).unionByName(new), "classes")
+            self.settled = None
+            remove(found.sparkSession, merged, labels)
+        remove(found.sparkSession, between)
 
     def apart(self, members: DataFrame) -> DataFrame:
         """The members of buckets that hold texts of different classes, by the links so far.
 
         ``label`` is a text's class; a text is ``open`` while it is not in the class of the text ``home``, one for each bucket.
         """
-        if self.labels is None:
-            self.labels = components(self.edges)
-        labels = self.labels
-        members = members.select(*(c for c in members.columns if c not in ("label", "home_label", "open")))
-        members = members.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+        if self.settled is not None and members is self.settled:
+            return members
+        labels, spark = self.labels, self.table.sparkSession
+        plain = members.select(*(c for c in members.columns if c not in ("label", "home_label", "open")))
+        plain = plain.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
         homes = labels.select(F.col("rid").alias("home"), F.col("label").alias("home_label"))
-        members = members.join(homes, "home", "left").withColumn("home_label", F.coalesce("home_label", "home"))
-        members = materialize(members.withColumn("open", F.col("label") != F.col("home_label")).drop("home_label"), "labelled")
-        return materialize(members.join(members.where("open").select("bucket").distinct(), "bucket", "left_semi"), "apart")
+        plain = plain.join(homes, "home", "left").withColumn("home_label", F.coalesce("home_label", "home"))
+        plain = materialize(plain.withColumn("open", F.col("label") != F.col("home_label")).drop("home_label"), "labelled")
+        self.settled = materialize(plain.join(plain.where("open").select("bucket").distinct(), "bucket", "left_semi"), "apart")
+        remove(spark, plain)
+        return self.settled
 
     def meet_hubs(self, hubs: DataFrame, left: DataFrame, first: Column | None = None, fine: bool = True) -> None:
         """Compare what is left in each bucket with the bucket's hubs, but for those of its class."""
@@ -486,6 +521,7 @@ class _Search:
 
 def components(edges: DataFrame) -> DataFrame:
     """(rid, label) of every linked row: the least row id of its component."""
+    spark = edges.sparkSession
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both-ways")
     labels = materialize(both.groupBy(F.col("a").alias("rid")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:
@@ -494,9 +530,12 @@ def components(edges: DataFrame) -> DataFrame:
         better = labels.join(near, F.col("rid") == F.col("v"), "left").select("rid", F.col("label").alias("old"), F.least("label", "l").alias("label"))
         jump = better.join(better.select(F.col("rid").alias("t"), F.col("label").alias("further")), F.col("label") == F.col("t"), "left")
         jumped = materialize(jump.select("rid", "old", F.least("label", "further").alias("label")), "labels")
-        if not jumped.where(F.col("old") != F.col("label")).limit(1).count():
-            return jumped.select("rid", "label")
+        remove(spark, labels)
         labels = jumped.select("rid", "label")
+        labels.scratch = jumped.scratch
+        if not jumped.where(F.col("old") != F.col("label")).limit(1).count():
+            remove(spark, both)
+            return labels
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, table: int = TABLE) -> DataFrame:
@@ -526,13 +565,15 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: flo
     single = rows.where(F.col("rid") == F.col("text")).select("rid")
     signed = materialize(signed.join(single, "rid"), "signed")
     members = signed.select("rid", F.posexplode("buckets").alias("band", "bucket"))
-    edges = links(members, signed, table, weights, threshold)
-    labels = components(edges)
+    search = _search(members, signed, table, weights, threshold)
+    edges, labels = search.edges, search.labels
     degree = edges.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count(F.lit(1)).alias("n_links"))
     sizes = rows.groupBy(F.col("text").alias("rid")).agg(F.count(F.lit(1)).alias("n"))
     linked = materialize(labels.join(degree, "rid").join(sizes, "rid").select(F.col("rid").alias("text"), "label", "n_links", "n"), "linked")
     rows = attach(rows, ["text"], linked, "n", F.col("rid")).select("rid", "doc_id", F.coalesce("label", "text").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     rows = materialize(rows, "labelled")
+    remove(docs.sparkSession, table, signed, copies, linked, labels)
+    sweep(docs.sparkSession)
     classes = rows.groupBy("label").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("class_size")).where(F.col("class_size") > 1)
     out = attach(rows, ["label"], materialize(classes, "classes"), "class_size", F.col("rid"))
     first = F.coalesce("first", own)
