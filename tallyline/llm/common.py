@@ -88,17 +88,23 @@ def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or scratch_path(spark, tag)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
 def remove(spark: SparkSession, *frames_or_paths: DataFrame | str) -> None:
-    """Delete scratch tables (paths, or frames that ``materialize`` returned) once nothing reads them again."""
+    """Delete scratch tables (paths, or the very frames that ``materialize`` returned) once nothing reads them again."""
     jvm = spark._jvm
     for x in frames_or_paths:
-        paths = [x] if isinstance(x, str) else sorted({f.rsplit("/", 1)[0] for f in x.inputFiles()})
-        for p in paths:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = jvm.org.apache.hadoop.fs.Path(x if isinstance(x, str) else x.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs, which it does when the driver's garbage is collected: between the many jobs of one operator."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def small_frame(spark: SparkSession, table: pa.Table) -> DataFrame:
@@ -140,25 +146,42 @@ def appended(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], [*batch.schema.names, *columns])
 
 
-def bounded_sample(df: DataFrame, key: Column, bound: int, strata: Column | None = None) -> Column:
-    """A predicate that keeps at most ``bound`` rows (of each stratum), chosen by a hash of ``key``.
+def bounded_sample(df: DataFrame, key: Column, bound: int, strata: Column | None = None, more: Column | None = None) -> Column:
+    """A predicate that keeps at most ``bound`` rows (of each stratum), chosen by a hash of ``key``, an id.
 
-    The choice depends on the rows alone, not on partitions. Rows with equal hashes at the cut go together
-    and out, so that the bound holds; only hashes under an expected count of 1.5 bounds come to the driver.
+    The choice depends on the rows alone, not on partitions. Rows of equal keys go in or out together. A key of more than ``bound``
+    rows never fits: the sample is filled from the others, from as much of the hash space as that takes. Where these
+    are too few (ids that are mostly null or the same), ``more``, say the text, tells rows apart. Rows are counted by hash before
+    anything comes to the driver: at most ``bound + 1`` hashes of each large stratum at a time.
     """
     spread = 1 << 40
     h = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(spread))
     s = (strata if strata is not None else F.lit("")).cast("string")
     counts = {r["s"]: r["n"] for r in df.groupBy(s.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
     keep = F.lit(False)
-    large = {k: n for k, n in counts.items() if n > bound}
-    for k in counts.keys() - large.keys():
-        keep = keep | s.eqNullSafe(F.lit(k))
-    for k, n in large.items():
-        first = int(spread * min(1.0, 1.2 * bound / n))
-        hashes = sorted(r["h"] for r in df.where(s.eqNullSafe(F.lit(k)) & (h < first)).select(h.alias("h")).limit(3 * bound).collect())
-        cut = first if len(hashes) <= bound else hashes[bound]
-        keep = keep | (s.eqNullSafe(F.lit(k)) & (h < F.lit(cut)))
+    for k, n in counts.items():
+        mine = s.eqNullSafe(F.lit(k))
+        if n <= bound:
+            keep = keep | mine
+            continue
+        share = min(1.0, 1.5 * bound / n)
+        while True:
+            here = df.where(mine & (h < F.lit(int(share * spread)))).groupBy(h.alias("h")).agg(F.count(F.lit(1)).alias("n"))
+            total, cut, out = 0, 0, []
+            for r in here.where(F.col("n") <= bound).orderBy("h").limit(bound + 1).collect():
+                if total + r["n"] <= bound:
+                    total, cut = total + r["n"], r["h"] + 1
+                else:
+                    out.append(r["h"])
+            if out or total == bound or share == 1:
+                break
+            share = min(1.0, share * 8)
+        if not out and total < bound and more is not None:
+            keep = keep | (mine & bounded_sample(df.where(mine), F.xxhash64(key, more), bound))
+            continue
+        # Keys of more than ``bound`` rows under the cut: a few, as the rows there are a few bounds or such keys.
+        out = [x for x in out if x < cut] + [r["h"] for r in here.where((F.col("n") > bound) & (F.col("h") < cut)).select("h").collect()]
+        keep = keep | (mine & (h < F.lit(cut)) & (~h.isin(out) if out else F.lit(True)))
     return keep
 
 

@@ -62,7 +62,7 @@ def train(
     count by their n-grams. Null and empty texts add nothing; repeated rows count as often as they occur.
     """
     base = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    chosen = base.where(bounded_sample(base, F.col("k"), max_docs, F.col("lang"))).select("lang", "text")
+    chosen = base.where(bounded_sample(base, F.col("k"), max_docs, F.col("lang"), F.col("text"))).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -48,7 +48,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, *, max_docs:
 
     Too few or too uniform samples give a raw-content dictionary; an empty table gives one of eight zero bytes.
     """
-    chosen = docs.where(bounded_sample(docs, F.col("doc_id"), max_docs)).select("text")
+    chosen = docs.where(bounded_sample(docs, F.col("doc_id"), max_docs, more=F.col("text"))).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
