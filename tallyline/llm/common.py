@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
@@ -102,9 +103,14 @@ def remove(spark: SparkSession, *frames_or_paths: DataFrame | str) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs, which it does when the driver's garbage is collected: between the many jobs of one operator."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished jobs, between the many jobs of one operator.
+
+    It does so when the driver's garbage is collected; a job's plan goes in the first round, its shuffles in the second.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def small_frame(spark: SparkSession, table: pa.Table) -> DataFrame:

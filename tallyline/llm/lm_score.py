@@ -38,7 +38,7 @@ ORDER = 2
 #: The weight of the shorter history, as a number of occurrences.
 PRIOR = 256.0
 #: UTF-8 bytes of text in a block, and for each shard of the hash space.
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 24 << 20
+BLOCK_BYTES, SHARD_BYTES = 6 << 20, 8 << 20
 CACHED_WORDS = 200_000
 _U = np.uint64
 _START, _END = _U(0x5851F42D4C957F2D), _U(xxhash.xxh64_intdigest(b""))
@@ -213,66 +213,64 @@ def _answers(questions: DataFrame, shards: int) -> DataFrame:
 
 
 class Automaton:
-    """The arcs that the texts of a block can take.
+    """The states and arcs that the texts of a block can meet.
 
     ``grams`` are as ``Tokens.grams`` gives them, ``counts`` their counts in training, of each order. State 0 is the empty history, 1
-    the start of a text; a word is its index among the block's words.
+    the start of a text, the others are histories with a count. The arc of a state of depth d on the word at a position is that of the d + 1 words
+    ending there, so arcs are found by the index of their n-gram; -1 stands for none. Words always have an arc from state 0.
     """
 
     def __init__(self, tokens: Tokens, grams: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarray], texts: int, total: int, distinct: int, prior: float):
-        order, words = len(grams), len(grams[0][0])
-        self.width = words
-        ends = grams[0][0] == _END
-        # States: histories of up to order - 1 words that occur in training; no text goes on after its end.
-        state_of: list[np.ndarray] = []
-        fail, back = [0.0, math.log10(prior / (texts + prior))], [-1, 0]
-        probabilities: list[np.ndarray] = []
-        arcs: dict[int, int] = {}
-        weights: list[float] = []
-        targets: list[int] = []
+        order = len(grams)
+        word, ends = grams[0][1], grams[0][0] == _END
+        begins = np.zeros(len(word), bool)
+        begins[tokens.starts] = True
+        fail, back, depth = [np.array([0.0, math.log10(prior / (texts + prior))])], [np.array([-1, 0])], [np.array([0, 1])]
+        states, size = [], 2
+        weights, targets, self.arcs, offset = [], [], [], 0
+        p = None
         for k, ((keys, index), c) in enumerate(zip(grams, counts), 1):
-            # Where each k-gram occurs first: its last word, its history and its k-gram without the first word.
+            # A position where each k-gram occurs: from it follow its k-gram without the first word, and its history.
             at = np.zeros(len(keys), np.int64)
             there = np.flatnonzero(index >= 0)
-            at[index[there][::-1]] = there[::-1]
-            last = grams[0][1][at]
+            at[index[there]] = there
             if k == 1:
-                p = (c + 1) / (total + distinct + 1)
-                history = np.zeros(len(keys), np.int64)
+                p, shorter = (c + 1) / (total + distinct + 1), None
             else:
-                shorter = grams[k - 2][1]
-                starts = np.zeros(len(tokens.words), bool)
-                starts[tokens.starts] = True
-                before = np.where(starts[at], -1, shorter[at - 1])
-                seen = np.where(starts[at], texts, counts[k - 2][before]) if len(counts[k - 2]) else np.full(len(keys), texts)
-                history = np.where(starts[at], 1, state_of[k - 2][before])
-                p = (c + prior * probabilities[k - 2][shorter[at]]) / (seen + prior)
-            probabilities.append(p)
+                shorter = grams[k - 2][1][at]
+                history = np.where(begins[at], texts, counts[k - 2][grams[k - 2][1][at - 1]])
+                p = (c + prior * p[shorter]) / (history + prior)
             if k < order:
-                state = np.full(len(keys), 0, np.int64)
-                real = (c > 0) & ~ends[last]
-                state[real] = np.arange(len(fail), len(fail) + int(real.sum()))
-                fail += np.log10(prior / (c[real] + prior)).tolist()
-                back += (np.zeros(int(real.sum()), np.int64) if k == 1 else state_of[k - 2][grams[k - 2][1][at[real]]]).tolist()
-                state_of.append(state)
-            known = np.ones(len(keys), bool) if k == 1 else c > 0
-            target = (state_of[k - 1] if k < order else state_of[k - 2][grams[k - 2][1][at]]) if order > 1 else np.zeros(len(keys), np.int64)
-            arcs.update(zip((history[known] * words + last[known]).tolist(), range(len(weights), len(weights) + int(known.sum()))))
-            weights += np.log10(p[known]).tolist()
-            targets += target[known].tolist()
-        self.arcs, self.weights, self.targets, self.fail, self.back = arcs, weights, targets, fail, back
+                real = (c > 0) & ~ends[word[at]]
+                state = np.zeros(len(keys), np.int64) if k == 1 else states[-1][shorter]
+                suffix = state[real]
+                state[real] = size + np.arange(len(suffix))
+                size += len(suffix)
+                fail.append(np.log10(prior / (c[real] + prior)))
+                back.append(suffix)
+                depth.append(np.full(len(suffix), k))
+                states.append(state)
+            weights.append(np.log10(p))
+            targets.append(states[-1] if k < order else states[-1][shorter] if order > 1 else np.zeros(len(keys), np.int64))
+            arc = np.where(index < 0, -1, offset + index)
+            if k > 1:
+                arc[(index < 0) | (c[index] == 0)] = -1
+            self.arcs.append(arc)
+            offset += len(keys)
+        self.weights, self.targets = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
+        self.fail, self.back, self.depth = (np.concatenate(x).tolist() for x in (fail, back, depth))
         self.start = 1 if order > 1 else 0
 
-    def score(self, words: list[int]) -> float:
-        """The log10 probability of a text: one traversal from the start."""
-        arcs, weights, targets, fail, back, width = self.arcs.get, self.weights, self.targets, self.fail, self.back, self.width
+    def score(self, start: int, length: int) -> float:
+        """The log10 probability of the text of some positions: one traversal from its start."""
+        weights, targets, fail, back, depth = self.weights, self.targets, self.fail, self.back, self.depth
         state, total = self.start, 0.0
-        for w in words:
-            arc = arcs(state * width + w)
-            while arc is None:
+        for arcs in zip(*(x[start : start + length].tolist() for x in self.arcs)):
+            arc = arcs[depth[state]]
+            while arc < 0:
                 total += fail[state]
                 state = back[state]
-                arc = arcs(state * width + w)
+                arc = arcs[depth[state]]
             total += weights[arc]
             state = targets[arc]
         return total
@@ -294,8 +292,7 @@ def _scores(answers: DataFrame, order: int, texts: int, total: int, distinct: in
         c = counts[0][words]
         base = np.add.reduceat(np.log10((c + 1) / (total + distinct + 1)), tokens.starts)
         known = np.add.reduceat((c > 0).astype(np.int64), tokens.starts)
-        listed = words.tolist()
-        scores = [machine.score(listed[s : s + n]) for s, n in zip(tokens.starts.tolist(), tokens.lengths.tolist())]
+        scores = [machine.score(s, n) for s, n in zip(tokens.starts.tolist(), tokens.lengths.tolist())]
         lengths = pa.array(tokens.lengths)
         return pa.RecordBatch.from_arrays([part.column(0), part.column(1), lengths, pa.array(known), pa.array(np.full(len(known), total)), pa.array(base), pa.array(scores, pa.float64())], list(_OUT))
 
