@@ -68,6 +68,12 @@ def header_fingerprint(headers: Sequence[str]) -> str:
     return hashlib.sha256(tx.HEADER_PREFIX + b"\0".join(sorted(h.encode() for h in headers))).hexdigest()[:32]
 
 
+def header_fingerprints(headers: Column) -> Column:
+    """``header_fingerprint`` of an array of canonical headers; nulls don't count."""
+    joined = F.array_join(F.array_sort(F.array_compact(headers)), "\0")
+    return sha(F.concat(lit(tx.HEADER_PREFIX), joined.cast("binary")), 32)
+
+
 def identity_key(*parts: Column) -> Column:
     """Length-prefixed parts as one binary key; null if a part is null."""
     framed = [F.concat(F.unhex(F.lpad(F.hex(F.octet_length(p)), 8, "0")), p.cast("binary")) for p in parts]

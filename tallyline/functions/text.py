@@ -1,12 +1,13 @@
 """Text canonicalization.
 
-All steps are JVM expressions but NFC and case folding beyond ASCII, for which Spark has no built-in: an Arrow UDF does
-these (its argument is then computed once). ``ascii_only`` leaves it out.
+All steps are JVM expressions. Spark has no built-in for NFC and full case folding: a pattern finds the texts that either could
+change otherwise than ``lower`` does, few in most corpora, and an Arrow UDF sees these alone. ``ascii_only`` leaves it out.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,7 +23,7 @@ PUNCTUATION_TO = "'''''\"\"\"\"\"-------"
 
 @F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x.isascii() else unicodedata.normalize("NFC", x), na_action="ignore")
+    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
@@ -35,17 +36,50 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def is_ascii(s: Column) -> Column:
-    return F.length(s) == F.octet_length(s)
+def _class(members: list[int], more: str) -> str:
+    """A character class of some code points, as ranges, and of named classes."""
+    runs: list[list[int]] = []
+    for c in members:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + more + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
 
 
-def nfc(s: Column, ascii_only: bool = False) -> Column:
-    """Normal form C; ASCII texts, which are in it, don't cross to Python."""
-    return s if ascii_only else F.coalesce(_nfc(F.when(~is_ascii(s), s)), s)
+def _characters() -> list[str]:
+    return [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+
+
+@cache
+def not_normal() -> str:
+    """A pattern that fits every text that isn't in normal form C (and some that are).
+
+    A text is in it if none of its characters changes alone, none is a mark and none a Hangul vowel or final, which join what
+    stands before them. Code points that the JVM doesn't know count as doubtful.
+    """
+    return _class([ord(c) for c in _characters() if not unicodedata.is_normalized("NFC", c)], r"\p{M}\p{Cn}\x{1161}-\x{1175}\x{11a8}-\x{11c2}")
+
+
+@cache
+def not_lower() -> str:
+    """A pattern that fits every text whose case folding isn't its lower case: characters that fold to others, and sigmas, whose lower case depends on their place."""
+    return _class([ord(c) for c in _characters() if c.casefold() != c.lower() or c in "Σς"], r"\p{Cn}")
+
+
+def nfc(s: Column, raw: Column | None = None, ascii_only: bool = False) -> Column:
+    """Normal form C. ``raw`` is a cheaper text that has all characters of ``s`` outside ASCII: it is what is tested."""
+    if ascii_only:
+        return s
+    doubtful = F.rlike(s if raw is None else raw, F.lit(not_normal()))
+    return F.when(doubtful, _nfc(F.when(doubtful, s))).otherwise(s)
 
 
 def casefold(s: Column, ascii_only: bool = False) -> Column:
-    return F.lower(s) if ascii_only else _folded(s)
+    if ascii_only:
+        return F.lower(s)
+    doubtful = F.rlike(s, F.lit(not_lower()))
+    return F.when(doubtful, _folded(F.when(doubtful, s))).otherwise(F.lower(s))
 
 
 def strip_invisible(s: Column) -> Column:
@@ -67,7 +101,7 @@ def collapse(s: Column) -> Column:
 
 def prepare(s: Column, ascii_only: bool = False) -> Column:
     """Invisible characters out, white space unified, NFC, trimmed."""
-    return trim(nfc(unify_whitespace(strip_invisible(s)), ascii_only))
+    return trim(nfc(unify_whitespace(strip_invisible(s)), s, ascii_only))
 
 
 def fold_punctuation(s: Column) -> Column:
@@ -85,9 +119,8 @@ def text_token(s: Column, *, collapse_ws: bool = True, fold: bool = False, empty
         out = collapse(out)
     if fold:
         out = casefold(out, ascii_only)
-    token = F.concat(F.lit("s:"), out)
-    empty = F.lit("z:") if empty_is_null else F.lit("s:")
-    return F.when(s.isNull() | (out == ""), empty).otherwise(token)
+    # ``nullif`` binds its argument: the chain of steps is computed once.
+    return F.coalesce(F.concat(F.lit("s:"), F.nullif(out, F.lit(""))), F.lit("z:") if empty_is_null else F.lit("s:"))
 
 
 def join_key(s: Column, ascii_only: bool = False) -> Column:

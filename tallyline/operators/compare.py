@@ -40,7 +40,8 @@ def keyed_comparison(left: DataFrame, right: DataFrame, key: str = "key") -> Dat
 
 def delta_class(a: Column, b: Column, c: Contract) -> Column:
     """cosmetic, rounding or substantive, of two differing readable tokens. Tolerance only ever downgrades."""
-    cosmetic = folded(a, c.ascii_only) == folded(b, c.ascii_only)
+    # Only text tokens have a cosmetic form.
+    cosmetic = folded(a, c.ascii_only) == folded(b, c.ascii_only) if c.ctype == "text" else a == b
     x, y = payload(a).try_cast("decimal(38,18)"), payload(b).try_cast("decimal(38,18)")
     gap = F.abs(x - y)
     step = F.lit(f"{10.0 ** -(c.scale or 0):.12f}").cast("decimal(20,12)") * F.lit(ROUNDING_STEPS).cast("decimal(3,2)")
@@ -52,10 +53,11 @@ def delta_class(a: Column, b: Column, c: Contract) -> Column:
     return F.when(cosmetic, F.lit("cosmetic")).when(both_numbers & F.coalesce(near, F.lit(False)), F.lit("rounding")).otherwise(F.lit("substantive"))
 
 
-def unequal_keys(left: DataFrame, right: DataFrame, key: str = "key") -> DataFrame:
-    """The keys whose comparison can show anything: on one side only, repeated, of different hashes or with an unreadable token.
+def _keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, same) of all keys of both sides: whether their comparison can show nothing.
 
-    Of each side a key, a hash and a flag are shuffled, never the rows' tokens.
+    It can if the key is on one side only, repeated, of different hashes or with an unreadable token. Of each side a key, a hash and a flag
+    are shuffled, never the rows' tokens.
     """
 
     def slim(df: DataFrame, name: str) -> DataFrame:
@@ -63,11 +65,15 @@ def unequal_keys(left: DataFrame, right: DataFrame, key: str = "key") -> DataFra
         parts = [F.max(F.conv(F.substring("h_row", 1 + 11 * i, 11), 16, 10).cast("bigint")).alias(f"{name}_{i}") for i in range(3)]
         return df.groupBy(key).agg(F.count(F.lit(1)).alias(f"{name}_n"), *parts, F.max(bad).alias(f"{name}_bad"))
 
-    both = slim(left, "l").join(slim(right, "r"), key, "full_outer")
+    both = slim(left, "l").join(slim(right, "r"), key, "full_outer").where(F.col(key).isNotNull())
     same = (F.col("l_n") == 1) & (F.col("r_n") == 1) & ~F.col("l_bad") & ~F.col("r_bad")
     for i in range(3):
         same = same & (F.col(f"l_{i}") == F.col(f"r_{i}"))
-    return both.where(~F.coalesce(same, F.lit(False)) & F.col(key).isNotNull()).select(key)
+    return both.select(key, F.coalesce(same, F.lit(False)).alias("same"))
+
+
+def unequal_keys(left: DataFrame, right: DataFrame, key: str = "key") -> DataFrame:
+    return _keys(left, right, key).where(~F.col("same")).select(key)
 
 
 def unequal_comparison(left: DataFrame, right: DataFrame, key: str = "key") -> DataFrame:
@@ -77,6 +83,25 @@ def unequal_comparison(left: DataFrame, right: DataFrame, key: str = "key") -> D
     return keyed_comparison(left.join(keys, key, "left_semi"), right.join(keys, key, "left_semi"), key)
 
 
+def outcomes(left: DataFrame, right: DataFrame, columns: Sequence[Contract], key: str = "key") -> DataFrame:
+    """(outcome, n): how many keys of two stored sides are equal, differ at worst in a class, or have another status.
+
+    Equal keys are counted by their hashes; tokens of the others only are moved and compared.
+    """
+    keys = store(_keys(left, right, key), "keys")
+    unequal = keys.where(~F.col("same")).select(key)
+    both = keyed_comparison(left.join(unequal, key, "left_semi"), right.join(unequal, key, "left_semi"), key)
+    outcome = F.when(F.col("status") != "matched", F.col("status")).otherwise(F.coalesce(worst_difference(columns), F.lit("equal")))
+    found = both.select(outcome.alias("outcome"), F.lit(1).cast("bigint").alias("n")).unionByName(keys.where("same").select(F.lit("equal").alias("outcome"), F.lit(1).cast("bigint").alias("n")))
+    return found.groupBy("outcome").agg(F.sum("n").alias("n"))
+
+
+def error_finding(code: Column) -> Column:
+    """The finding that an error token's code stands for."""
+    own = ("identifier_numeric", "orphan_reference", "multi_match", "currency_mismatch")
+    return F.when(F.lower(code).isin(*own), F.lower(code)).otherwise(F.lit("type_coercion"))
+
+
 def difference_array(columns: Sequence[Contract]) -> Column:
     """The differing fields of a pair (``l``, ``r``) as an array of structs; see ``field_differences``."""
     parts = []
@@ -86,12 +111,7 @@ def difference_array(columns: Sequence[Contract]) -> Column:
         a = F.coalesce(F.try_element_at("l.canon", F.lit(c.key)), F.lit(tx.NULL))
         b = F.coalesce(F.try_element_at("r.canon", F.lit(c.key)), F.lit(tx.NULL))
         bad = is_error(a) | is_error(b)
-        code = F.coalesce(error_code(a), error_code(b))
-        kind = (
-            F.when(~bad, F.lit("field_mismatch")).when(code.isin("IDENTIFIER_NUMERIC"), F.lit("identifier_numeric"))
-            .when(code == "ORPHAN_REFERENCE", F.lit("orphan_reference")).when(code == "MULTI_MATCH", F.lit("multi_match"))
-            .when(code == "CURRENCY_MISMATCH", F.lit("currency_mismatch")).otherwise(F.lit("type_coercion"))
-        )
+        kind = F.when(~bad, F.lit("field_mismatch")).otherwise(error_finding(F.coalesce(error_code(a), error_code(b))))
         parts.append(F.when((a != b) | bad, F.struct(
             F.lit(c.key).alias("field"), a.alias("source_token"), b.alias("target_token"), kind.alias("finding"),
             F.when(~bad, delta_class(a, b, c)).alias("delta_class"),
@@ -113,7 +133,10 @@ def field_differences(pairs: DataFrame, columns: Sequence[Contract], keep: Seque
 
 
 def worst_difference(columns: Sequence[Contract]) -> Column:
-    """The last delta class by name of a pair's differing fields (substantive over rounding over cosmetic); null if none differs."""
+    """The last delta class by name of a pair's differing fields (substantive over rounding over cosmetic); null if none differs.
+
+    To be taken of pairs that are ``worth_comparing``; where other columns than ASCII ones are folded, Python sees all rows it is taken of.
+    """
     return F.when(worth_comparing(), F.array_max(F.transform(difference_array(columns), lambda d: d["delta_class"])))
 
 

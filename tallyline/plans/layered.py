@@ -1,4 +1,8 @@
-"""Layered verification: fingerprints, dataset digest, bucket digests, rows. Each layer runs only if the one before differs."""
+"""Layered verification: fingerprints, dataset digest, bucket digests, rows. Each layer runs only if the one before differs.
+
+Unreadable (quarantined) rows are present: they have a sentinel in the digests, take part in no comparison and are findings
+of their own. A side is a snapshot, which is digested as a whole, or a ``RowStore``, whose digests are read.
+"""
 
 from __future__ import annotations
 
@@ -8,14 +12,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.functions.canon import error_code
 from tallyline.operators import merkle
-from tallyline.operators.compare import findings, keyed_comparison, summary
+from tallyline.operators.compare import classified, error_finding, findings, keyed_comparison, summary
 from tallyline.operators.staging import Snapshot
+from tallyline.sources.rowstore import COLUMNS, RowStore
+from tallyline.sources.scratch import store
 
 
 @dataclass
 class Verification:
-    """result: cached, verified, drift or blocked; mode: the layer that decided; findings may be None."""
+    """result: cached, verified, unreadable (no drift, but rows that can't be compared), drift or blocked; mode: the layer that decided; findings may be None."""
 
     result: str
     mode: str
@@ -70,6 +77,23 @@ def bucket_table(s: Snapshot) -> DataFrame:
     return merkle.all_buckets(merkle.bucket_digests(rows))
 
 
+class _Digested:
+    """A snapshot whose rows are staged and stored once, with what a ``RowStore`` offers."""
+
+    def __init__(self, s: Snapshot):
+        self.stored = store(s.rows.select("bucket", *COLUMNS), "side")
+
+    def digests(self) -> DataFrame:
+        rows = merkle.entries(self.stored, F.col("key"), F.col("h_row"), F.col("state") == "quarantined")
+        return store(merkle.all_buckets(merkle.bucket_digests(rows)), "digests")
+
+    def unreadable_buckets(self) -> list[int]:
+        return [r["bucket"] for r in self.stored.where(F.col("state") == "quarantined").select("bucket").distinct().collect()]
+
+    def rows(self, buckets: list[int]) -> DataFrame:
+        return self.stored.where(F.col("bucket").isin(buckets))
+
+
 def verify(source: Snapshot, target: Snapshot, *, unchanged: bool = False, cached: str | None = None) -> Verification:
     """Verify two staged sides.
 
@@ -80,24 +104,56 @@ def verify(source: Snapshot, target: Snapshot, *, unchanged: bool = False, cache
         return Verification("blocked", "read_incomplete")
     if source.blocking:
         return Verification("blocked", "header_blocked")
-    if source.count() == 0 and target.count() > 0:
-        return Verification("blocked", "empty_tab")
     if unchanged and cached:
         return Verification(cached, "fingerprint")
-    left, right = bucket_table(source).persist(), bucket_table(target).persist()
-    try:
-        digests = [merkle.dataset_digest(t, source.spec_version, source.uid).first()["digest"] for t in (left, right)]
-        if digests[0] == digests[1]:
-            unreadable = source.rows.where(F.col("state") == "quarantined").limit(1).count()
-            if not unreadable:
-                return Verification("verified", "dataset_digest")
-        differing = merkle.diff_buckets(left, right)
-        buckets = [r["bucket"] for r in differing.collect()]
-    finally:
-        left.unpersist()
-        right.unpersist()
-    some = F.col("bucket").isin(*buckets) if buckets else F.lit(False)
-    a, b = source.rows.where(some | (F.col("state") == "quarantined")), target.rows.where(some)
-    found = findings(keyed_comparison(a.where(F.col("state") != "quarantined"), b), source.columns)
+    if source.count() == 0 and target.count() > 0:
+        return Verification("blocked", "empty_tab")
+    return _verify(_Digested(source), _Digested(target), source.columns, source.spec_version, source.uid)
+
+
+def verify_stored(source: RowStore, target: RowStore, columns, spec: str, uid: str) -> Verification:
+    """Verify two stored sides by their stored digests: only rows of differing buckets, or with unreadable rows, are read."""
+    if source.count() == 0 and target.count() > 0:
+        return Verification("blocked", "empty_tab")
+    return _verify(source, target, columns, spec, uid)
+
+
+def _verify(source, target, columns, spec: str, uid: str) -> Verification:
+    left, right = source.digests(), target.digests()
+    digests = [merkle.dataset_digest(t, spec, uid).first()["digest"] for t in (left, right)]
+    bad = sorted({*source.unreadable_buckets(), *target.unreadable_buckets()})
+    if digests[0] == digests[1] and not bad:
+        return Verification("verified", "dataset_digest")
+    differing = sorted(r["bucket"] for r in merkle.diff_buckets(left, right).collect())
+    read = sorted({*differing, *bad})
+    a, b = source.rows(read), target.rows(read)
+    unread = store(unreadable(a, b), "unreadable")
+    keys = unread.select("key")
+    a, b = (side.where(F.col("bucket").isin(differing) & (F.col("state") != "quarantined")).select("key", "canon", "h_row").join(keys, "key", "left_anti") for side in (a, b))
+    found = store(findings(keyed_comparison(a, b), columns).unionByName(unread.select(*FINDING)), "findings")
     s = summary(found).first()
-    return Verification(s["result"], "rows", found, rows_compared=a.count() + b.count())
+    result = "unreadable" if s["result"] == "verified" and unread.limit(1).count() else s["result"]
+    counts = [t.where(F.col("bucket").isin(read)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for t in (left, right)]
+    return Verification(result, "rows", found, rows_compared=sum(counts))
+
+
+FINDING = ("key", "finding", "field", "delta_class", "source_token", "target_token", "category", "severity")
+
+
+def unreadable(source: DataFrame, target: DataFrame) -> DataFrame:
+    """A finding for each key with an unreadable row on either side: of what kind, in which field, with which tokens.
+
+    Such keys are present, so they are missing on neither side, and equal to nothing, so they are never verified. Of several
+    unreadable rows of a key the first by field counts; the source's kind comes before the target's.
+    """
+
+    def bad(df: DataFrame, name: str) -> DataFrame:
+        token = F.try_element_at("canon", F.col("quarantine_field"))
+        what = F.struct(F.coalesce("quarantine_field", F.lit("")).alias("field"), F.coalesce("quarantine_reason", F.lit("")).alias("reason"), token.alias("token"))
+        return df.where((F.col("state") == "quarantined") & F.col("key").isNotNull()).groupBy("key").agg(F.min(what).alias(name))
+
+    both = bad(source, "s").join(bad(target, "t"), "key", "full_outer")
+    first = F.coalesce("s", "t")
+    kind = F.when(first["reason"] == "duplicate_identity", F.lit("duplicate_identity")).otherwise(error_finding(F.coalesce(error_code(first["token"]), F.lit(""))))
+    rows = both.select("key", kind.alias("finding"), F.nullif(first["field"], F.lit("")).alias("field"), F.lit(None).cast("string").alias("delta_class"), F.col("s.token").alias("source_token"), F.col("t.token").alias("target_token"))
+    return classified(rows).select(*FINDING)

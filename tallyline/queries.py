@@ -82,9 +82,8 @@ def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT 'missing_in_source' FROM r ANTI JOIN l USING (k)
 ) SELECT outcome, count(*) AS n FROM found GROUP BY outcome""")
 def verify_customers(spark, sf_dir):
-    out = comparison(spark, sf_dir)
-    outcome = F.when(F.col("status") != "matched", F.col("status")).otherwise(F.coalesce(compare.worst_difference(CUSTOMER), F.lit("equal")))
-    return out.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    left, right = (store(s.rows.select("key", "canon", "h_row"), "side") for s in sides(spark, sf_dir))
+    return compare.outcomes(left, right, CUSTOMER)
 
 
 @query(f"""WITH {_FIELDS}

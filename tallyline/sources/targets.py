@@ -28,6 +28,13 @@ def schema_of(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "field string, type string, nullable boolean")
 
 
+def filled_schema(df: DataFrame) -> DataFrame:
+    """(field, type, rows, filled): ``schema_of`` with how many rows have a value, counted in one pass."""
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count(f"`{c}`").alias(f"n_{i}") for i, c in enumerate(df.columns)))
+    cells = (F.struct(F.lit(c).alias("field"), F.lit(t).alias("type"), F.col("rows"), F.col(f"n_{i}").alias("filled")) for i, (c, t) in enumerate(df.dtypes))
+    return counts.select(F.inline(F.array(*cells)))
+
+
 def missing_fields(df: DataFrame, names: Sequence[str]) -> list[str]:
     """Those of ``names`` that the table lacks; never an error."""
     return [n for n in names if n not in df.columns]

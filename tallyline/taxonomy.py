@@ -55,43 +55,6 @@ STRICT_IDENTITY_SLUGS = (
     "id", "sku", "barcode", "upc", "ean", "isbn", "code", "ref", "reference", "part_number", "item_id", "item_number", "product_id", "product_code",
     "serial", "serial_number",
 )
-# Words of a header's slug that suggest a type (fixed values); pairs stand side by side.
-IDENTITY_WORDS = (
-    "sku", "barcode", "upc", "ean", "isbn", "imei", "vin", "ssn", "ein", "iban", "zip", "id", "code", "ref", "reference", "serial", "phone", "mobile",
-    "fax", "pin", "sin", "passport", "license", "plate",
-)
-IDENTITY_PAIRS = (
-    "part number", "part no", "part num", "model number", "invoice number", "invoice no", "invoice num", "account number", "acct number", "account no",
-    "phone number", "mobile number", "postal code", "zip code", "post code", "tracking number", "order number", "po number", "purchase order",
-    "serial number", "serial no", "reference number", "ref number", "tax id", "vat number", "vat id", "routing number", "id number",
-    "identification number", "customer number", "client number", "national id", "social security", "license number", "license plate",
-)
-DATETIME_WORDS = ("timestamp", "datetime", "time")
-DATE_WORDS = ("date", "created", "updated", "modified", "birthday", "dob", "deadline", "expiry", "expires", "due", "anniversary", "dated")
-BOOL_WORDS = (
-    "active", "enabled", "disabled", "flag", "bool", "archived", "deleted", "verified", "confirmed", "approved", "published", "visible", "available",
-    "subscribed", "opted",
-)
-BOOL_FIRST_WORDS = ("is", "has")
-MONEY_WORDS = (
-    "price", "amount", "total", "cost", "revenue", "balance", "payment", "fee", "salary", "budget", "subtotal", "value", "rate", "fare", "charge",
-    "expense", "income", "discount", "tax", "wage", "deposit",
-)
-NUMBER_WORDS = (
-    "qty", "quantity", "count", "number", "num", "age", "score", "rating", "weight", "height", "length", "width", "duration", "percent", "percentage",
-    "rank", "position", "level", "units",
-)
-# Target fields that mean a header's words although they share none, tried in order (fixed values).
-FIELD_ALIASES = {
-    "sku": ("default_code",), "part number": ("default_code",), "item number": ("default_code",), "product code": ("default_code",),
-    "internal reference": ("default_code",), "reference": ("ref", "default_code"), "ref": ("ref",), "phone number": ("phone",), "phone": ("phone", "mobile"),
-    "mobile number": ("mobile",), "mobile": ("mobile", "phone"), "fax": ("fax",), "email": ("email",), "e mail": ("email",), "zip code": ("zip",),
-    "postal code": ("zip",), "post code": ("zip",), "zip": ("zip",), "website": ("website",), "web site": ("website",), "url": ("website",),
-    "tax id": ("vat",), "vat": ("vat",), "city": ("city",), "street address": ("street",), "address": ("street",), "street": ("street",),
-    "address line 2": ("street2",), "country": ("country_id",), "state": ("state_id",), "province": ("state_id",), "full name": ("name",),
-    "company name": ("name",), "name": ("name",), "job title": ("function",), "title": ("function", "name"), "notes": ("comment",),
-    "description": ("comment", "description"),
-}
 # Types of target fields that a column's type may be written to (fixed values), and Spark's types for them.
 FIELD_TYPES = {
     "text": ("char", "text", "html"), "number": ("integer", "float", "monetary"), "money": ("float", "monetary"), "bool": ("boolean",), "date": ("date",),
