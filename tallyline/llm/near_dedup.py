@@ -406,8 +406,8 @@ def _search(members: DataFrame, signed: DataFrame, table: DataFrame, weights: We
     keys = F.transform(apart, lambda j: F.struct((F.col("band") * TRIPLES + j).cast("int").alias("at"), F.xxhash64(F.col("bucket"), j, F.element_at("triples", j + 1)).alias("bucket")))
     finer = waiting.join(signed.select("rid", "triples"), "rid").select(F.explode(keys).alias("k"), "rid", "central", "weight", "label")
     finer = finer.select("k.bucket", "k.at", "rid", "central", "weight", "label")
-    sizes = finer.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "label"))["label"].alias("home"))
+    sizes = finer.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("one"))
+    sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "label", "one"))["one"].alias("home"))
     sizes = materialize(sizes.where(F.col("classes") > 1).drop("classes"), "buckets")
     finer = materialize(attach(finer, ["bucket"], sizes, "n", F.col("rid")).where(F.col("n").isNotNull()), "finer")
     search.try_pairs(_all_pairs(finer.where(F.col("n") <= SMALL)))
@@ -488,17 +488,17 @@ class _Search:
     def apart(self, members: DataFrame) -> DataFrame:
         """The members of buckets that hold texts of different classes, by the links so far.
 
-        ``label`` is a text's class; a text is ``open`` while it is not in the class of the text ``home``, one for each bucket.
+        ``label`` is a text's class; a text is ``open`` while it is not in the class of the text ``home``, a member for each bucket.
         """
         if self.settled is not None and members is self.settled:
             return members
         labels, spark = self.labels, self.table.sparkSession
-        plain = members.select(*(c for c in members.columns if c not in ("label", "home_label", "open")))
-        plain = plain.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-        homes = labels.select(F.col("rid").alias("home"), F.col("label").alias("home_label"))
-        plain = plain.join(homes, "home", "left").withColumn("home_label", F.coalesce("home_label", "home"))
-        plain = materialize(plain.withColumn("open", F.col("label") != F.col("home_label")).drop("home_label"), "labelled")
-        self.settled = materialize(plain.join(plain.where("open").select("bucket").distinct(), "bucket", "left_semi"), "apart")
+        plain = members.select(*(c for c in members.columns if c not in ("label", "open")))
+        plain = materialize(plain.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid")), "labelled")
+        home = F.max(F.when(F.col("rid") == F.col("home"), F.col("label"))).alias("home_label")
+        mixed = plain.groupBy("bucket").agg(home, F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi"))
+        open_ = plain.join(mixed.select("bucket", "home_label"), "bucket").withColumn("open", F.col("label") != F.col("home_label"))
+        self.settled = materialize(open_.drop("home_label"), "apart")
         remove(spark, plain)
         return self.settled
 
