@@ -7,6 +7,7 @@ name counts, so a reader never sees half of a change and a lost driver loses not
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,34 +15,55 @@ from pyspark.sql import functions as F
 
 from tallyline.sources.listings import CHANGE_SCHEMA, MAX_CHANGE_PAGES, Read
 
-FACT_SCHEMA = "name string, value string, seq bigint"
+FACT_SCHEMA = "name string, value string, seq bigint, writer string"
+#: Files of facts from which on a writer puts the newest facts into one.
+COMPACT_FILES = 64
 CHANGE_PAGE_SCHEMA = f"subject string, page int, pageToken string, nextPageToken string, newStartPageToken string, changes array<struct<{CHANGE_SCHEMA}>>"
 
 
 def newest(facts: DataFrame) -> DataFrame:
-    """(name, value) of the facts (name, value, seq): the newest of each name; a null value forgets the name."""
-    return facts.groupBy("name").agg(F.max_by("value", "seq").alias("value")).where(F.col("value").isNotNull())
+    """(name, value) of the facts (name, value, seq, writer): the newest of each name, of equal ones that of the last writer by name; a null value forgets the name."""
+    return facts.groupBy("name").agg(F.max_by("value", F.struct("seq", "writer")).alias("value")).where(F.col("value").isNotNull())
 
 
 class MetaStore:
-    """Facts under ``path`` (a folder that all machines share)."""
+    """Facts under ``path`` (a folder that all machines share). A batch of facts is one file; many files become one."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.writer = spark, path, uuid.uuid4().hex
 
-    def facts(self) -> DataFrame:
+    def _files(self) -> list[str]:
         root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        there = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(root)
-        return self.spark.read.schema(FACT_SCHEMA).parquet(self.path) if there else self.spark.createDataFrame([], FACT_SCHEMA)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [str(s.getPath()) for s in fs.listStatus(root) if s.getPath().getName().endswith(".parquet")] if fs.exists(root) else []
+
+    def facts(self) -> DataFrame:
+        return self.spark.read.schema(FACT_SCHEMA).parquet(self.path) if self._files() else self.spark.createDataFrame([], FACT_SCHEMA)
 
     def get(self, name: str) -> str | None:
         row = newest(self.facts().where(F.col("name") == name)).first()
         return row["value"] if row else None
 
     def put(self, name: str, value: str | None) -> None:
+        self.put_all(self.spark.createDataFrame([(name, value)], "name string, value string"))
+
+    def put_all(self, facts: DataFrame) -> None:
+        """Write facts (name, value) as one file, newer than all that this store has."""
+        files = self._files()
         last = self.facts().agg(F.max("seq")).first()[0] or 0
-        row = [(name, value, max(last + 1, time.time_ns()))]
-        self.spark.createDataFrame(row, FACT_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+        seq = F.lit(max(last + 1, time.time_ns())).cast("bigint").alias("seq")
+        facts.select("name", "value", seq, F.lit(self.writer).alias("writer")).coalesce(1).write.mode("append").parquet(self.path)
+        if len(files) >= COMPACT_FILES:
+            self.compact(files)
+
+    def compact(self, files: list[str]) -> None:
+        """The newest facts of some files as one; facts keep their ``seq``, so a reader may see both."""
+        old = self.spark.read.schema(FACT_SCHEMA).parquet(*files)
+        kept = old.groupBy("name").agg(F.max_by(F.struct("value", "seq", "writer"), F.struct("seq", "writer")).alias("f")).select("name", "f.*")
+        kept.coalesce(1).write.mode("append").parquet(self.path)
+        for f in files:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
 
 
 def feed_state(pages: DataFrame, max_pages: int = MAX_CHANGE_PAGES) -> DataFrame:
@@ -78,9 +100,11 @@ def read_feed(pages: DataFrame, max_pages: int = MAX_CHANGE_PAGES) -> tuple[Read
 
 def advance(store: MetaStore, state: DataFrame, subjects: Sequence[str]) -> dict[str, str]:
     """Write the new cursors of complete feeds among ``subjects``; call it after their changes are stored."""
-    rows = state.where(F.col("complete") & F.col("subject").isin(list(subjects))).select("subject", "cursor").collect()
-    for r in rows:
-        store.put(f"cursor:{r['subject']}", r["cursor"])
+    done = state.where(F.col("complete") & F.col("subject").isin(list(subjects)))
+    rows = done.select("subject", "cursor").collect()
+    if rows:
+        facts = [(f"cursor:{r['subject']}", r["cursor"]) for r in rows]
+        store.put_all(store.spark.createDataFrame(facts, "name string, value string"))
     return {r["subject"]: r["cursor"] for r in rows}
 
 

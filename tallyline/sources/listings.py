@@ -102,6 +102,27 @@ def typed_cells(workbooks: DataFrame) -> DataFrame:
     return cells.select("file_id", "gid", "row", (F.col("c0") + F.col("j")).alias("col"), kind.alias("kind"), value.alias("value"), F.col("cell.formattedValue").alias("formatted"))
 
 
+#: As ``WORKBOOK_SCHEMA``, with effective values as they came.
+VARIANT_SCHEMA = WORKBOOK_SCHEMA.replace(CELL, "variant")
+#: The branches of an effective value that are known, with their kinds (fixed values).
+BRANCHES = {"errorValue": "error", "numberValue": "number", "boolValue": "bool", "stringValue": "string", "formulaValue": "formula"}
+
+
+def variant_cells(responses: DataFrame, json: str) -> DataFrame:
+    """``typed_cells`` of workbooks as JSON texts. An effective value of no known branch is ``unknown`` and keeps its JSON; numbers keep their digits."""
+    books = responses.select(F.from_json(F.col(json), VARIANT_SCHEMA).alias("w")).select("w.spreadsheetId", F.explode("w.sheets").alias("s"))
+    data = books.select(F.col("spreadsheetId").alias("file_id"), F.col("s.properties.sheetId").alias("gid"), F.explode("s.data").alias("d"))
+    rows = data.select("file_id", "gid", F.coalesce("d.startRow", F.lit(0)).alias("r0"), F.coalesce("d.startColumn", F.lit(0)).alias("c0"), F.posexplode("d.rowData").alias("i", "row"))
+    cells = rows.select("file_id", "gid", (F.col("r0") + F.col("i")).alias("row"), "c0", F.posexplode("row.values").alias("j", "cell"))
+    e = F.col("cell.effectiveValue")
+    branch = {name: F.try_variant_get(e, f"$.{name}" + (".type" if name == "errorValue" else ""), "string") for name in BRANCHES}
+    kind = F.when(e.isNull() | F.is_variant_null(e), F.lit("empty"))
+    for name, what in BRANCHES.items():
+        kind = kind.when(branch[name].isNotNull(), F.lit(what))
+    value = F.coalesce(*branch.values(), F.when(e.isNotNull() & ~F.is_variant_null(e), F.to_json(e)))
+    return cells.select("file_id", "gid", "row", (F.col("c0") + F.col("j")).alias("col"), kind.otherwise(F.lit("unknown")).alias("kind"), value.alias("value"), F.col("cell.formattedValue").alias("formatted"))
+
+
 def range_rows(ranges: DataFrame, requested: Sequence[str]) -> Read:
     """(range, row_number, cells) of a batch read (range, values array<array<string>>); a range without an answer makes it incomplete."""
     got = {r["range"] for r in ranges.select("range").distinct().limit(len(requested) + 1).collect()}

@@ -1,14 +1,15 @@
-"""Staged rows that survive a run, laid out by bucket, with the digest of every bucket.
+"""Tables that survive a run, laid out by bucket: a change rewrites the buckets of its keys only.
 
 ``rows/generation=g/bucket=b`` holds the rows of a bucket, ``manifest/version=v`` one row for each bucket: the generation that is
-current, the number of rows and of unreadable ones, and the digest. A change rewrites and digests the buckets of its
-keys only: of 256, those of one edited row are 0.4 % of the rows. Writing ends with the manifest, so a run that is cut off leaves the
-version before it as it was.
+current and what is known about it. Writing ends with the manifest, so a run that is cut off leaves the version before it as it
+was, and a repeated run of a version starts from the one before it. ``RowStore`` keeps staged rows with the digest of every bucket: of 256, those of one
+edited row are 0.4 % of the rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from tallyline.sources.scratch import store
 COLUMNS = ("key", "canon", "h_row", "state", "quarantine_field", "quarantine_reason")
 #: Rows of a bucket that one file takes; a task writes one file.
 FILE_ROWS = 1_000_000
-#: Manifests that stay, for readers that hold an older one.
+#: Manifests that stay, for readers that hold an older one and for repeated runs.
 KEPT = 2
 
 
@@ -30,83 +31,121 @@ def dataset_path(base: str, uid: str, spec: str, side: str) -> str:
     return f"{base.rstrip('/')}/{hashlib.sha256(uid.encode()).hexdigest()[:32]}/{spec[:32]}/{side}"
 
 
-class RowStore:
-    """One side of a dataset under one contract. One writer at a time; readers see whole versions."""
+class BucketTable:
+    """Rows with a ``bucket`` column. One writer at a time; readers see whole versions."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: str):
+        self.spark, self.path, self.key, self.schema = spark, path, key, schema
         #: Rows that the last change read and wrote.
         self.rows_read = self.rows_written = 0
 
-    def manifest(self) -> DataFrame | None:
-        """(bucket, generation, n, unreadable, digest) of the buckets that have rows; None if nothing was ever written."""
+    def manifest(self, before: int | None = None) -> DataFrame | None:
+        """(version, bucket, generation, n, ...) of the buckets that have rows, of the last version (before one); None if there is none."""
         try:
             every = self.spark.read.parquet(f"{self.path}/manifest")
         except AnalysisException:
             return None
-        return every.where(F.col("version") == every.agg(F.max("version")).first()[0])
+        every = every if before is None else every.where(F.col("version") < before)
+        last = every.agg(F.max("version")).first()[0]
+        return None if last is None else every.where(F.col("version") == last)
 
-    def _version(self) -> int:
+    def version(self) -> int:
         m = self.manifest()
         return 0 if m is None else m.agg(F.max("version")).first()[0]
 
+    def describe(self, rows: DataFrame) -> DataFrame:
+        """What the manifest says of each bucket of stored rows: (bucket, n, ...)."""
+        return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
     def _write(self, rows: DataFrame, generation: int) -> DataFrame:
         """Write buckets as a generation; their part of the manifest."""
-        rows = store(rows.select("bucket", *COLUMNS), "rows")
+        rows = store(rows, "rows")
         n = rows.count()
-        files = n // (tx.BUCKETS * FILE_ROWS) + 1
-        parts = rows.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(files)))
-        path = f"{self.path}/rows/generation={generation}"
-        parts.write.mode("overwrite").partitionBy("bucket").parquet(path)
+        buckets = rows.select("bucket").distinct().count()
+        files = n // (max(1, buckets) * FILE_ROWS) + 1
+        parts = rows.repartition("bucket", F.pmod(F.xxhash64(self.key), F.lit(files)))
+        parts.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/generation={generation}")
         self.rows_written = n
-        unreadable = rows.groupBy("bucket").agg(F.count_if(F.col("state") == "quarantined").alias("unreadable"))
-        digests = merkle.bucket_digests(merkle.entries(rows, F.col("key"), F.col("h_row"), F.col("state") == "quarantined"))
-        return digests.join(unreadable, "bucket").select("bucket", F.lit(generation).alias("generation"), "n", "unreadable", "digest")
+        about = self.describe(rows)
+        return about.select("bucket", F.lit(generation).alias("generation"), *(c for c in about.columns if c != "bucket"))
 
     def _commit(self, manifest: DataFrame, version: int) -> None:
-        manifest.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/version={version}")  # at most 256 rows
+        manifest.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/version={version}")  # a row a bucket
         jvm = self.spark._jvm
-        for old in range(max(1, version - KEPT - 2), version - KEPT + 1):
+        seen = sorted(r[0] for r in self.spark.read.parquet(f"{self.path}/manifest").select("version").distinct().collect())
+        for old in seen[:-KEPT]:
             gone = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/version={old}")
             gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
 
-    def replace(self, rows: DataFrame) -> None:
-        """All rows anew (staged rows: ``bucket`` and ``COLUMNS``)."""
-        version = self._version() + 1
+    def replace(self, rows: DataFrame, version: int | None = None) -> None:
+        """All rows anew."""
+        version = self.version() + 1 if version is None else version
         self.rows_read = 0
         self._commit(self._write(rows, version), version)
 
-    def apply(self, changes: DataFrame) -> list[int]:
-        """Put and drop rows by key; returns the buckets that were digested anew.
+    def merge(self, changes: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame], version: int | None = None) -> list[int]:
+        """Rewrite the buckets of ``changes`` (stored, with ``bucket``) as ``combine(stored rows, changes)``; returns these buckets.
 
-        ``changes`` are staged rows with a boolean ``gone``. A key's stored rows go; its rows that aren't ``gone`` take their place.
+        Of other buckets nothing is read. With a ``version`` the change is applied to the version before it: repeating it changes nothing.
         """
-        old = self.manifest()
-        if old is None:
-            raise ValueError("apply() needs stored rows: call replace() first")
-        version = self._version() + 1
-        changes = store(changes.select("bucket", *COLUMNS, "gone"), "changes")
+        old = self.manifest(version)
+        version = self.version() + 1 if version is None else version
         touched = sorted(r["bucket"] for r in changes.select("bucket").distinct().collect())
-        if not touched:
-            return []
-        before = self.rows(touched)
-        self.rows_read = old.where(F.col("bucket").isin(touched)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        kept = before.join(changes.select("key").distinct(), "key", "left_anti").select("bucket", *COLUMNS)
-        new = self._write(kept.unionByName(changes.where(~F.col("gone")).drop("gone")), version)
-        rest = old.where(~F.col("bucket").isin(touched)).select(*new.columns)
-        self._commit(store(rest.unionByName(new), "manifest"), version)
+        if old is None:
+            self.replace(combine(self.rows([]), changes), version)
+            return touched
+        mine = F.col("bucket").isin(touched)
+        self.rows_read = old.where(mine).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        rest = old.where(~mine).drop("version")
+        if touched:
+            new = self._write(combine(self.rows(touched, old), changes), version)
+            rest = rest.select(*new.columns).unionByName(new)
+        self._commit(store(rest, "manifest"), version)
         return touched
 
-    def rows(self, buckets: list[int] | None = None) -> DataFrame:
+    def rows(self, buckets: list[int] | None = None, manifest: DataFrame | None = None) -> DataFrame:
         """The rows of some buckets (of all): nothing else is read."""
-        m = self.manifest()
-        found = [] if m is None else m.select("bucket", "generation").collect()
+        m = self.manifest() if manifest is None else manifest
+        found = [] if m is None or buckets == [] else m.select("bucket", "generation").collect()
         paths = [f"{self.path}/rows/generation={r['generation']}/bucket={r['bucket']}" for r in found if buckets is None or r["bucket"] in set(buckets)]
-        schema = "key binary, canon map<string,string>, h_row string, state string, quarantine_field string, quarantine_reason string, bucket int"
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], f"{self.schema}, bucket int")
         # ``generation`` is a partition column, too.
-        return self.spark.read.schema(f"{schema}, generation int").option("basePath", f"{self.path}/rows").parquet(*paths).drop("generation")
+        return self.spark.read.schema(f"{self.schema}, bucket int, generation int").option("basePath", f"{self.path}/rows").parquet(*paths).drop("generation")
+
+    def count(self) -> int:
+        m = self.manifest()
+        return 0 if m is None else m.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+class RowStore(BucketTable):
+    """Staged rows of one side of a dataset under one contract, with the digest of every bucket."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, "key", "key binary, canon map<string,string>, h_row string, state string, quarantine_field string, quarantine_reason string")
+
+    def describe(self, rows: DataFrame) -> DataFrame:
+        unreadable = rows.groupBy("bucket").agg(F.count_if(F.col("state") == "quarantined").alias("unreadable"))
+        digests = merkle.bucket_digests(merkle.entries(rows, F.col("key"), F.col("h_row"), F.col("state") == "quarantined"))
+        return digests.join(unreadable, "bucket").select("bucket", "n", "unreadable", "digest")
+
+    def replace(self, rows: DataFrame, version: int | None = None) -> None:
+        """All rows anew (staged rows: ``bucket`` and ``COLUMNS``)."""
+        super().replace(rows.select("bucket", *COLUMNS), version)
+
+    def apply(self, changes: DataFrame) -> list[int]:
+        """Put and drop rows by key; returns the buckets that were digested anew.
+
+        ``changes`` are staged rows with a boolean ``gone``. A key's stored rows go; its rows that aren't ``gone`` take their place.
+        """
+        if self.manifest() is None:
+            raise ValueError("apply() needs stored rows: call replace() first")
+
+        def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+            kept = old.join(new.select("key").distinct(), "key", "left_anti").select("bucket", *COLUMNS)
+            return kept.unionByName(new.where(~F.col("gone")).select("bucket", *COLUMNS))
+
+        return self.merge(store(changes.select("bucket", *COLUMNS, "gone"), "changes"), combine)
 
     def digests(self) -> DataFrame:
         """(bucket, n, digest) of all 256 buckets, as stored."""
@@ -117,7 +156,3 @@ class RowStore:
     def unreadable_buckets(self) -> list[int]:
         m = self.manifest()
         return [] if m is None else [r["bucket"] for r in m.where("unreadable > 0").select("bucket").collect()]
-
-    def count(self) -> int:
-        m = self.manifest()
-        return 0 if m is None else m.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

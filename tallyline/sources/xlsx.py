@@ -6,7 +6,7 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,49 +27,61 @@ def unsupported(content: Column) -> Column:
     return F.when(head == F.lit(bytearray.fromhex("D0CF11E0A1B11AE1")), F.lit("legacy_or_encrypted")).when(F.substring(content, 1, 4) != F.lit(bytearray(b"PK\x03\x04")), F.lit("not_a_workbook"))
 
 
-def read_workbook(content: bytes) -> list[tuple]:
-    """(tab_index, title, hidden, read_complete, warnings, rows of texts). Trailing blanks go; a formula without a stored value
-    makes its tab incomplete; numbers keep their stored literal."""
+def _tabs(content: bytes) -> Iterator[tuple[int, str, bool, Callable[[], Iterator[tuple[int, list[str]]]], dict]]:
+    """(tab_index, title, hidden, rows, state) of each tab; ``rows()`` yields (row number, texts) and leaves in ``state`` whether all was read."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
-        shared = []
+        shared: list[str] = []
         if "xl/sharedStrings.xml" in names:
             with z.open("xl/sharedStrings.xml") as f:
-                shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for _, si in ET.iterparse(f) if si.tag == f"{_MAIN}si"]
+                for _, si in ET.iterparse(f):
+                    if si.tag == f"{_MAIN}si":
+                        shared.append("".join(t.text or "" for t in si.iter(f"{_MAIN}t")))
+                        si.clear()
         rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out = []
         sheets = ET.fromstring(z.read("xl/workbook.xml")).find(f"{_MAIN}sheets")
         for i, s in enumerate(sheets if sheets is not None else ()):
             target = rels[s.get(f"{_REL}id")].lstrip("/")
-            with z.open(target if target.startswith("xl/") else f"xl/{target}") as f:
-                rows, complete, warnings = _sheet(f, shared)
-            out.append((i, s.get("name"), s.get("state", "visible") != "visible", complete, warnings, rows))
-        return out
+            state: dict = {"complete": True, "warnings": set(), "rows": 0}
+
+            def rows(path: str = target if target.startswith("xl/") else f"xl/{target}", state: dict = state) -> Iterator[tuple[int, list[str]]]:
+                with z.open(path) as f:
+                    yield from _sheet(f, shared, state)
+
+            yield i, s.get("name"), s.get("state", "visible") != "visible", rows, state
 
 
-def _sheet(f, shared: list[str]) -> tuple[list[list[str]], bool, list[str]]:
-    rows: list[list[str]] = []
-    complete, warnings = True, []
-    for _, row in ET.iterparse(f):
+def _sheet(f, shared: list[str], state: dict) -> Iterator[tuple[int, list[str]]]:
+    """(row number, texts) of the rows that have any, one at a time. Trailing blanks go; a formula without a stored value
+    makes the tab incomplete; numbers keep their stored literal."""
+    expected = 0
+    body = None
+    for event, row in ET.iterparse(f, ("start", "end")):
+        if event == "start":
+            body = row if row.tag == f"{_MAIN}sheetData" else body
+            continue
         if row.tag != f"{_MAIN}row":
             continue
-        at = int(row.get("r", len(rows) + 1)) - 1
+        at = int(row.get("r", expected + 1)) - 1
+        expected = at + 1
         if at >= MAX_ROWS:
-            return rows, False, [*warnings, "too_many_rows"]
+            state["complete"] = False
+            state["warnings"].add("too_many_rows")
+            return
         cells: dict[int, str] = {}
         for k, c in enumerate(row.iter(f"{_MAIN}c")):
             col = column_index(m[0]) if (m := re.match("[A-Za-z]+", c.get("r", ""))) else k
             if col >= MAX_COLUMNS:
-                complete = False
-                warnings.append("too_many_columns")
+                state["complete"] = False
+                state["warnings"].add("too_many_columns")
                 break
             v, kind = c.find(f"{_MAIN}v"), c.get("t", "n")
             if kind == "inlineStr":
                 cells[col] = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
             elif v is None or v.text is None:
                 if c.find(f"{_MAIN}f") is not None:
-                    complete = False
-                    warnings.append("formula_without_value")
+                    state["complete"] = False
+                    state["warnings"].add("formula_without_value")
             elif kind == "s":
                 cells[col] = shared[int(v.text)]
             elif kind == "b":
@@ -78,16 +90,70 @@ def _sheet(f, shared: list[str]) -> tuple[list[list[str]], bool, list[str]]:
                 cells[col] = v.text
         while cells and not cells[max(cells)].strip():
             del cells[max(cells)]
-        rows.extend([] for _ in range(at - len(rows)))
-        rows.append([cells.get(i, "") for i in range(max(cells) + 1)] if cells else [])
-        row.clear()
-    while rows and not any(c.strip() for c in rows[-1]):
-        rows.pop()
-    return rows, complete, sorted(set(warnings))
+        if cells:
+            state["rows"] = at + 1
+            yield at, [cells.get(i, "") for i in range(max(cells) + 1)]
+        if body is not None:
+            body.clear()  # rows that were read
+
+
+ROW_SCHEMA = "file_id string, tab_index int, row_number int, cells array<string>, title string, hidden boolean, read_complete boolean, warnings array<string>"
+#: Cells in a batch of rows.
+BATCH_CELLS = 65_536
+
+
+def workbook_rows(files: DataFrame, id_col: str = "path", content_col: str = "content") -> DataFrame:
+    """The rows of all tabs of workbooks, in batches of some ``BATCH_CELLS`` cells, whatever the size of a tab.
+
+    One task reads one file. A row with texts is (file_id, tab_index, row_number from 0, cells); each tab ends with a row without
+    ``row_number`` that says whether all of it was read (``tabs_of``). A damaged file gives one such row without a tab, not complete, after the rows read before.
+    """
+    types = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string())]
+    names = ["file_id", "tab_index", "row_number", "cells", "title", "hidden", "read_complete", "warnings"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, held, size = batch.column(0)[i].as_py(), [], 0
+                try:
+                    for tab, title, hidden, rows, state in _tabs(batch.column(1)[i].as_py() or b""):
+                        for at, cells in rows():
+                            held.append((key, tab, at, cells, None, None, None, None))
+                            size += len(cells) + 1
+                            if size >= BATCH_CELLS:
+                                yield batch_of(held)
+                                held, size = [], 0
+                        held.append((key, tab, None, None, title, hidden, state["complete"], sorted(state["warnings"])))
+                except Exception as e:  # the file is data
+                    held.append((key, None, None, None, None, False, False, [type(e).__name__]))
+                yield batch_of(held)
+
+    return files.select(F.col(id_col).cast("string"), F.col(content_col)).mapInArrow(run, ROW_SCHEMA)
+
+
+def tabs_of(rows: DataFrame) -> DataFrame:
+    """(file_id, tab_index, gid, title, hidden, read_complete, warnings) of what ``workbook_rows`` gave; ``gid`` is a surrogate below 0."""
+    ends = rows.where(F.col("row_number").isNull())
+    return ends.select("file_id", "tab_index", (-1 - F.col("tab_index")).alias("gid"), "title", "hidden", "read_complete", "warnings")
+
+
+def read_workbook(content: bytes) -> list[tuple]:
+    """(tab_index, title, hidden, read_complete, warnings, rows of texts) of one small workbook."""
+    out = []
+    for i, title, hidden, rows, state in _tabs(content):
+        found: list[list[str]] = []
+        for at, cells in rows():
+            found.extend([] for _ in range(at - len(found)))
+            found.append(cells)
+        out.append((i, title, hidden, state["complete"], sorted(state["warnings"]), found))
+    return out
 
 
 def read_workbooks(files: DataFrame, id_col: str = "path", content_col: str = "content") -> DataFrame:
-    """A row for each tab of each workbook; one task reads one file. A damaged file gives one row that is not complete."""
+    """A row for each tab of each workbook, its rows in one array: for small tabs; ``workbook_rows`` is for all. A damaged file gives one row that is not complete."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

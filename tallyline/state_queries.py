@@ -85,7 +85,7 @@ GROUP BY 1 HAVING arg_max(v, event_id) <> ''""")
 def stored_facts(spark, sf_dir):
     """The newest value of each name; a null value forgets it."""
     e = table(spark, sf_dir, "events")
-    facts = e.select(F.col("user_id").cast("string").alias("name"), F.when(F.col("event_id") % 10 != 0, F.col("event_type")).alias("value"), F.col("event_id").alias("seq"))
+    facts = e.select(F.col("user_id").cast("string").alias("name"), F.when(F.col("event_id") % 10 != 0, F.col("event_type")).alias("value"), F.col("event_id").alias("seq"), F.lit("w").alias("writer"))
     return cursors.newest(facts)
 
 

@@ -1,7 +1,7 @@
 """Change streams: latest-state replay, absence counters, change-triggered alerts.
 
 The checkpoint is the cursor: a batch's data are committed before its offset, so a restart repeats a batch at most, and
-every step is idempotent. State tables are written as versioned folders, one for each batch.
+every step is idempotent. State tables are versioned by bucket (``sources.rowstore``), a version for each batch.
 """
 
 from __future__ import annotations
@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyline.sources.cursors import MetaStore
 from tallyline.sources.listings import replay
+from tallyline.sources.rowstore import BucketTable
+from tallyline.sources.scratch import store
 
 
 def latest(events: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -22,36 +24,53 @@ def latest(events: DataFrame, key: str, order: Sequence[str], columns: Sequence[
     return events.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("s")).select(key, *(F.col(f"s.{c}").alias(c) for c in columns))
 
 
+#: Buckets of a replayed state: the part of it that one changed id rewrites.
+STATE_BUCKETS = 1024
+
+
 class ReplaySink:
-    """``foreachBatch`` target that keeps the latest state of each id under ``path``."""
+    """``foreachBatch`` target that keeps the latest state of each id under ``path``, by buckets of its hash.
+
+    A batch reads and rewrites the buckets of its ids only, as the version of its epoch. A repeated batch starts from the version before its own.
+    """
+
+    def __init__(self, path: str, columns: Sequence[str], seed: DataFrame | None = None, buckets: int = STATE_BUCKETS):
+        self.path, self.columns, self.seed, self.buckets = path, list(columns), seed, buckets
+        #: Rows that the last batch read and wrote.
+        self.rows_read = self.rows_written = 0
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int").alias("bucket")
 
-    def __init__(self, path: str, columns: Sequence[str], seed: DataFrame | None = None):
-        self.path, self.columns, self.seed = path, list(columns), seed
+    def _table(self, spark: SparkSession, schema: str) -> BucketTable:
+        return BucketTable(spark, self.path, "id", schema)
 
-    def _versions(self, spark: SparkSession) -> list[int]:
-        root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+    def versions(self, spark: SparkSession) -> list[int]:
+        m = self._table(spark, "id string").manifest()
+        return [] if m is None else sorted(r[0] for r in spark.read.parquet(f"{self.path}/manifest").select("version").distinct().collect())
 
-    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
-        versions = [v for v in self._versions(spark) if before is None or v < before]
-        return spark.read.parquet(f"{self.path}/v{versions[-1]}") if versions else self.seed
+    def read(self, spark: SparkSession, schema: str | None = None) -> DataFrame | None:
+        """The state (id, columns); ``schema`` spares the inference from files."""
+        table = self._table(spark, schema or "")
+        m = table.manifest()
+        if m is None:
+            return self.seed
+        if schema is None:
+            table.schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(f"{self.path}/rows").schema if f.name not in ("bucket", "generation"))
+        return table.rows().drop("bucket")
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         from tallyline.sources.listings import latest_changes
 
         spark = batch.sparkSession
         changes = latest_changes(batch)
-        state = self.read(spark, epoch)
-        if state is None:
-            state = changes.select("id", *(F.col(f"file.{c}").alias(c) for c in self.columns)).limit(0)
-        replay(state, changes, self.columns).write.mode("overwrite").parquet(f"{self.path}/v{epoch}")
-        # A repeated batch reads the version before its own: the two newest stay.
-        for v in self._versions(spark)[:-2]:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        plain = changes.select("id", *(F.col(f"file.{c}").alias(c) for c in self.columns))
+        table = self._table(spark, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema))
+        if self.seed is not None and table.manifest(epoch) is None:
+            table.replace(self.seed.select("id", *self.columns, self._bucket()), -1)
+        changes = store(changes.withColumn("bucket", self._bucket()), "changes")
+        table.merge(changes, lambda old, new: replay(old, new, self.columns).withColumn("bucket", self._bucket()), epoch)
+        self.rows_read, self.rows_written = table.rows_read, table.rows_written
 
 
 def start_replay(changes: DataFrame, sink: ReplaySink, checkpoint: str, **trigger) -> StreamingQuery:

@@ -109,5 +109,5 @@ def test_replay_keeps_two_versions(spark, tmp_path):
     for i in range(4):
         sink(batch(i), i)
     sink(batch(3), 3)  # a repeated batch
-    assert sink._versions(spark) == [2, 3]
+    assert sink.versions(spark) == [2, 3]
     assert {r["id"] for r in sink.read(spark).collect()} == {"f0", "f1", "f2", "f3"}
