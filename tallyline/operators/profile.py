@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline import taxonomy as tx
@@ -56,10 +56,11 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, order: str | No
 
 
 def samples(df: DataFrame, columns: Sequence[str], order: str, k: int = SAMPLE) -> DataFrame:
-    """(column, sample): the first ``k`` filled values of each column by ``order``; a top-k for each column, k rows a task."""
-    parts = None
-    for c in columns:
-        v = F.col(f"`{c}`").cast("string")
-        first = df.where(v.isNotNull() & (F.trim(v) != "")).orderBy(order).limit(k).select(F.lit(c).alias("column"), F.struct(F.col(order).alias("at"), v.alias("v")).alias("x"))
-        parts = first if parts is None else parts.unionByName(first)
-    return parts.groupBy("column").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("sample"))
+    """(column, sample): the first ``k`` filled values of each column by ``order``, in one scan.
+
+    The limit on the row number is applied in each task before the shuffle, which gets ``k`` values of a column from each.
+    """
+    cell = lambda c: F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v"))
+    cells = df.select(F.col(order).alias("at"), F.explode(F.array(*map(cell, columns))).alias("c")).select("at", "c.*").where(F.col("v").isNotNull() & (F.trim("v") != ""))
+    first = cells.withColumn("n", F.row_number().over(Window.partitionBy("column").orderBy("at", "v"))).where(F.col("n") <= k)
+    return first.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "v"))), lambda x: x["v"]).alias("sample"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.operators import scan
+
 from tallyline.functions.identifiers import clipped
 
 _RANK = ("blocking", "critical", "error", "warning", "info")
@@ -88,22 +90,14 @@ def due(datasets: DataFrame, limit: int = 200) -> DataFrame:
     return datasets.orderBy(F.asc_nulls_first("last_verify"), "id").limit(limit)
 
 
-def consecutive(runs: DataFrame, key: str, order: str, hit: Column) -> DataFrame:
-    """(key, order, streak): how many runs in a row, up to this one, the condition held."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy(order)
-    rows = runs.withColumn("__hit", hit).withColumn("__island", F.sum(F.when(F.col("__hit"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    streak = F.sum(F.col("__hit").cast("int")).over(Window.partitionBy(key, "__island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select(key, order, F.when(F.col("__hit"), streak).otherwise(0).cast("bigint").alias("streak"))
+def consecutive(runs: DataFrame, key: str, order: str, hit: Column, least: int = scan.LEAST) -> DataFrame:
+    """(key, order, streak): how many runs in a row, up to this one, the condition held. A frequent key is spread (``operators.scan``)."""
+    return scan.streaks(runs, [key], [order], hit, "streak", least).select(key, order, "streak")
 
 
-def previous_complete(runs: DataFrame, key: str, order: str) -> DataFrame:
-    """With ``prev_row_count``: the row count of the last complete read before each run."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return runs.withColumn("prev_row_count", F.last(F.when(F.col("read_complete"), F.col("row_count")), ignorenulls=True).over(w))
+def previous_complete(runs: DataFrame, key: str, order: str, least: int = scan.LEAST) -> DataFrame:
+    """With ``prev_row_count``: the row count of the last complete read before each run. A frequent key is spread."""
+    return scan.last_before(runs, [key], [order], F.when(F.col("read_complete"), F.col("row_count")), "prev_row_count", least)
 
 
 def empty_guard(row_count: Column, prev_row_count: Column, read_complete: Column) -> Column:

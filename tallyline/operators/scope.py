@@ -6,9 +6,11 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.taxonomy import NODE_TYPES
+
 #: Node types by exact media type (fixed values); prefixes and the rest follow in ``classify``.
 APPS = "application/vnd.google-apps."
 EXACT = {"folder": "folder", "spreadsheet": "spreadsheet", "document": "document", "presentation": "presentation", "drawing": "drawing", "shortcut": "shortcut"}
@@ -80,6 +82,49 @@ def in_scope(rules: Sequence[Rule]) -> Column:
     return ~excluded & (~wanted | included)
 
 
+#: Rules up to which their table is broadcast (it is counted), and glob patterns in one expression.
+BROADCAST_RULES, PATTERNS = 50_000, 500
+
+
+def judge(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """``nodes`` with ``in_scope`` by a table of rules (effect, kind, value, applies_to), as ``in_scope`` says it for a list.
+
+    ``id`` is unique; a null or empty ``applies_to`` concerns all node types. Rules of equal values meet the nodes in one equi-join on (kind, value):
+    a node has a key for its drive, owners, media type, name and path, and one for each ancestor and itself. Globs, which
+    no equi-join can find, become alternations of up to ``PATTERNS`` patterns for each effect, kind and node type.
+    """
+    glob = F.col("kind").isin("mime", "name", "path") & F.rlike("value", F.lit(r"[*?\[]"))
+    known = ("subtree", "drive", "owner", "mime", "name", "path")
+    plain = rules.select("effect", "kind", F.when(F.col("kind") == "owner", F.lower("value")).otherwise(F.col("value")).alias("value"), F.coalesce("applies_to", F.lit("")).alias("applies_to"))
+    plain = plain.distinct()
+    if bad := [r["kind"] for r in plain.where(~F.col("kind").isin(*known)).select("kind").distinct().limit(3).collect()]:
+        raise ValueError(f"unknown rule kinds {bad}")
+    wanted = [r["applies_to"] for r in plain.where("effect = 'include'").select("applies_to").distinct().limit(len(NODE_TYPES) + 1).collect()]
+    default_out = F.lit(True) if "" in wanted else F.coalesce(F.col("node_type").isin(*wanted), F.lit(False)) if wanted else F.lit(False)
+    patterns: dict[tuple, list[str]] = {}
+    for r in plain.where(glob).collect():  # they become expressions
+        patterns.setdefault((r["effect"], r["kind"], r["applies_to"]), []).append(glob_pattern(r["value"]))
+    hits = {"include": F.lit(False), "exclude": F.lit(False)}
+    for (effect, kind, applies), found in patterns.items():
+        for at in range(0, len(found), PATTERNS):
+            hit = F.rlike(F.col(kind), F.lit("|".join(found[at : at + PATTERNS])))
+            hits[effect] = hits[effect] | F.coalesce(hit & (F.col("node_type") == applies if applies else F.lit(True)), F.lit(False))
+    key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("value"))
+    lists = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    keys = F.concat(
+        F.transform(lists("ancestors"), lambda a: key("subtree", a)), F.transform(lists("owners"), lambda o: key("owner", F.lower(o))),
+        F.array(key("subtree", F.col("id")), key("drive", F.col("drive_id")), *(key(k, F.col(k)) for k in ("mime", "name", "path"))),
+    )
+    exact = plain.where(~glob)
+    exact = F.broadcast(exact) if exact.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else exact
+    met = nodes.select("id", "node_type", F.explode(F.array_distinct(keys)).alias("k")).select("id", "node_type", "k.*").join(exact, ["kind", "value"])
+    met = met.where((F.col("applies_to") == "") | (F.col("applies_to") == F.col("node_type")))
+    verdicts = met.groupBy("id").agg(F.max(F.col("effect") == "include").alias("__in"), F.max(F.col("effect") != "include").alias("__out"))
+    out = nodes.join(verdicts, "id", "left")
+    included, excluded = (F.coalesce(c, F.lit(False)) | hits[e] for c, e in (("__in", "include"), ("__out", "exclude")))
+    return out.withColumn("in_scope", ~excluded & (~default_out | included)).drop("__in", "__out")
+
+
 def owned_by(emails: Sequence[str], owners: str = "owners") -> Column:
     """No owners, or one of the wanted."""
     wanted = F.array(*(F.lit(e.casefold()) for e in emails)) if emails else F.array().cast("array<string>")

@@ -14,6 +14,7 @@ from tallyline.functions.canon import canon_columns, error_code, is_error
 from tallyline.functions.hashing import bucket_of, extra_hash, folded_row_hash, identity_key, row_hash
 from tallyline.functions.identifiers import is_ulid
 from tallyline.functions.text import text_token
+from tallyline.operators import scan
 from tallyline.plans.contract import Contract, default_contract, slugify_all, spec_version, validate
 from tallyline.sources.scratch import store
 
@@ -161,17 +162,15 @@ def first_unreadable(canon: Column) -> Column:
     return F.array_min(F.map_keys(F.map_filter(canon, lambda k, t: is_error(t))))
 
 
-def persist_rows(stored: DataFrame, staged: DataFrame, *, run_complete: bool, tab_complete: bool) -> DataFrame:
+def persist_rows(stored: DataFrame, staged: DataFrame, *, run_complete: bool, tab_complete: bool, least: int = scan.LEAST) -> DataFrame:
     """Match staged rows with stored ones by their own identity only; say what happens to each.
 
     Columns: id (stored, null if new), key, h_row, change (new / changed / same / missing / kept). Each stored row is
-    claimed once: equal keys pair up in row order. Vanished rows become missing only if the run and tab were complete.
+    claimed once: equal keys pair up in row order, the rows of a frequent one over several tasks. Vanished rows become missing only if the run and tab were complete.
     """
-    from pyspark.sql import Window
-
-    nth = lambda order: F.row_number().over(Window.partitionBy("identity_source", "key").orderBy(order))
-    old = stored.select("id", "identity_source", "key", F.col("h_row").alias("old_hash"), nth("id").alias("nth"))
-    new = staged.select("identity_source", "key", "h_row", nth("row_number").alias("nth"))
+    nth = lambda df, order: scan.numbered(df, ["identity_source", "key"], [order], "nth", least)
+    old = nth(stored.select("id", "identity_source", "key", F.col("h_row").alias("old_hash")), "id")
+    new = nth(staged.select("identity_source", "key", "h_row", "row_number"), "row_number").drop("row_number")
     both = old.join(new, ["identity_source", "key", "nth"], "full_outer")
     gone = F.lit("missing" if run_complete and tab_complete else "kept")
     change = F.when(F.col("id").isNull(), F.lit("new")).when(F.col("h_row").isNull(), gone).when(F.col("h_row") == F.col("old_hash"), F.lit("same")).otherwise(F.lit("changed"))

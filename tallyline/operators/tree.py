@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallyline.sources.scratch import store
 
-MAX_DEPTH = 64
 ORPHANS = "/(orphans)"
 
 
@@ -26,31 +25,38 @@ def resolve_parents(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "name", (F.size(F.coalesce("parents", F.array().cast("array<string>"))) > 0).alias("listed")).join(first, "id", "left")
 
 
-def resolve_paths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(id, parent, path, depth, ancestors, orphan): breadth first from the roots, at most ``max_depth`` rounds.
+def resolve_paths(nodes: DataFrame) -> DataFrame:
+    """(id, parent, path, depth, ancestors, orphan) by path doubling: as many rounds as the depth's logarithm.
 
     A root is a node that lists no parents. A node that lists parents of which none exists, or that only cycles reach,
-    is an orphan. ``ancestors`` runs from the root to the parent. Each round joins the last level with its children only.
+    is an orphan. ``ancestors`` runs from the root to the parent. Each node knows a chain of itself and some ancestors and the next
+    one above; a round puts that one's own chain before it, which doubles it. A chain of depth d ends after log2(d) rounds; as every depth below it ends
+    before, a round in which none ends leaves only cycles.
     """
     tree = _cut(resolve_parents(nodes))
-    child = tree.where(F.col("parent").isNotNull())
-    none = F.array().cast("array<string>")
-    roots = tree.where(F.col("parent").isNull())
-    base = F.when(F.col("listed"), F.lit(ORPHANS)).otherwise(F.lit(""))
-    level = roots.select("id", F.lit(None).cast("string").alias("parent"), F.concat(base, F.lit("/"), "name").alias("path"), F.lit(0).alias("depth"), none.alias("ancestors"), F.col("listed").alias("orphan"))
-    done = level
-    for _ in range(max_depth):
-        up = level.select(F.col("id").alias("parent"), F.col("path").alias("p_path"), F.col("depth").alias("p_depth"), F.col("ancestors").alias("p_anc"), "orphan")
-        level = _cut(child.join(up, "parent").select(
-            "id", "parent", F.concat("p_path", F.lit("/"), "name").alias("path"), (F.col("p_depth") + 1).alias("depth"),
-            F.concat("p_anc", F.array("parent")).alias("ancestors"), "orphan",
-        ))
-        if not level.limit(1).count():
+    state = tree.select("id", "parent", F.col("parent").alias("hop"), F.array(F.struct("id", "name", (F.col("listed") & F.col("parent").isNull()).alias("lost"))).alias("chain"))
+    done = state.where(F.col("hop").isNull())
+    going = state.where(F.col("hop").isNotNull())
+    known = state
+    while True:
+        up = known.select(F.col("id").alias("hop"), F.col("hop").alias("next"), F.col("chain").alias("above"))
+        moved = _cut(going.join(up, "hop").select("id", "parent", F.col("next").alias("hop"), F.concat("above", "chain").alias("chain")))
+        ended = moved.where(F.col("hop").isNull())
+        if not ended.limit(1).count():
             break
-        done = done.unionByName(level)
+        done = done.unionByName(ended)
+        going = moved.where(F.col("hop").isNotNull())
+        known = done.unionByName(going)
+    names = F.array_join(F.transform("chain", lambda x: x["name"]), "/")
+    root = F.get("chain", F.lit(0))
+    found = done.select(
+        "id", "parent", F.concat(F.when(root["lost"], F.lit(ORPHANS + "/")).otherwise(F.lit("/")), names).alias("path"), (F.size("chain") - 1).alias("depth"),
+        F.transform(F.slice("chain", F.lit(1), F.size("chain") - 1), lambda x: x["id"]).alias("ancestors"), root["lost"].alias("orphan"),
+    )
     cycles = tree.join(done.select("id"), "id", "left_anti")
+    none = F.array().cast("array<string>")
     rest = cycles.select("id", "parent", F.concat(F.lit(ORPHANS + "/"), "name").alias("path"), F.lit(0).alias("depth"), none.alias("ancestors"), F.lit(True).alias("orphan"))
-    return done.unionByName(rest)
+    return found.unionByName(rest)
 
 
 def subtree(nodes: DataFrame, root: str, max_depth: int | None = None) -> DataFrame:

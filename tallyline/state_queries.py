@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tallyline.functions import canon, hashing, text
-from tallyline.operators import identity, merkle, profile, reporting, scope, staging, worklist
+from tallyline.operators import identity, merkle, profile, reporting, scan, scope, staging, tree, worklist
 from tallyline.operators.staging import Snapshot
 from tallyline.plans import contract, layered, planner, suggest
 from tallyline.plans.contract import Contract
@@ -441,3 +441,62 @@ def stored_verification(spark, sf_dir):
 def store_of(spark, side: str) -> rowstore.RowStore:
     """A new store in the shared folder."""
     return rowstore.RowStore(spark, rowstore.dataset_path(f"{folder(spark)}/tallyline/rows-{uuid.uuid4().hex}", "cells/0", _READABLE_SPEC, side))
+
+
+#: From so many rows on frequent keys are spread, in queries that show it.
+SPREAD = 1000
+
+
+@query("""WITH r AS (SELECT CASE WHEN event_id % 2 = 0 THEN -1 WHEN event_id % 11 = 0 THEN NULL ELSE user_id END AS k, event_id, event_id % 997 NOT IN (1, 2, 500) AS hit, event_id % 3 = 0 AS complete FROM events
+), i AS (SELECT *, sum((NOT hit)::INT) OVER (PARTITION BY k ORDER BY event_id) AS island FROM r)
+SELECT k, event_id, CASE WHEN hit THEN sum(hit::INT) OVER (PARTITION BY k, island ORDER BY event_id)::BIGINT ELSE 0 END AS streak,
+  last_value(CASE WHEN complete THEN event_id END IGNORE NULLS) OVER (PARTITION BY k ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_row_count,
+  row_number() OVER (PARTITION BY k ORDER BY event_id) AS nth FROM i""")
+def frequent_key_runs(spark, sf_dir):
+    """Streaks, previous counts and numbers of runs of which one dataset has half and some have none."""
+    e = F.col("event_id")
+    k = F.when(e % 2 == 0, F.lit(-1)).when(e % 11 != 0, F.col("user_id")).cast("bigint")
+    runs = table(spark, sf_dir, "events").select(k.alias("k"), "event_id", e.alias("row_count"), (e % 3 == 0).alias("read_complete"))
+    out = scan.streaks(runs, ["k"], ["event_id"], ~(e % 997).isin(1, 2, 500), "streak", SPREAD)
+    out = reporting.previous_complete(out, "k", "event_id", SPREAD)
+    return scan.numbered(out, ["k"], ["event_id"], "nth", SPREAD).select("k", "event_id", "streak", "prev_row_count", "nth")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 1 THEN 'hub' WHEN c_custkey % 2000 = 0 THEN NULL ELSE 'c' || (c_custkey - 2) END AS parent FROM customer)
+SELECT 'c' || k AS id, CASE WHEN k % 2 = 1 THEN 1 ELSE (k % 2000 // 2) END::INT AS depth, CASE WHEN k % 2 = 1 THEN 'hub' WHEN k % 2000 > 0 THEN 'c' || (k // 2000 * 2000) END AS root, parent AS above,
+  (k % 2000 >= 1990 AND k % 2 = 0) AS orphan FROM c WHERE NOT (k % 2000 >= 1990 AND k % 2 = 0)
+UNION ALL SELECT 'c' || k, 0, NULL, NULL, true FROM c WHERE k % 2000 >= 1990 AND k % 2 = 0
+UNION ALL SELECT 'hub', 0, NULL, NULL, false""")
+def ancestors(spark, sf_dir):
+    """Chains of up to 995 customers, half of all under one folder, some in cycles."""
+    k = F.col("c_custkey")
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    cyclic = (k % 2 == 0) & (k % 2000 >= 1990)
+    ring = F.when(k % 2000 == 1990, name(k + 8)).otherwise(name(k - 2))
+    parents = F.when(k % 2 == 1, F.array(F.lit("hub"))).when(cyclic, F.array(ring)).when(k % 2000 != 0, F.array(name(k), name(k - 2)))
+    nodes = table(spark, sf_dir, "customer").select(name(k).alias("id"), F.col("c_name").alias("name"), F.coalesce(parents, F.array().cast("array<string>")).alias("parents"))
+    hub = spark.sql("SELECT 'hub' AS id, 'hub' AS name, CAST(array() AS array<string>) AS parents")
+    out = tree.resolve_paths(nodes.unionByName(hub))
+    return out.select("id", "depth", F.get("ancestors", F.lit(0)).alias("root"), F.get("ancestors", F.size("ancestors") - 1).alias("above"), "orphan")
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, CASE WHEN page_id % 3 = 0 THEN 'blob' ELSE 'document' END AS node_type,
+    CASE WHEN page_id % 2 = 0 THEN 'a@x.org' ELSE 'o' || page_id END AS owner FROM pages
+), excluded AS (SELECT DISTINCT path FROM p WHERE page_id % 5 = 0), wanted AS (SELECT DISTINCT host FROM p WHERE page_id % 4 <> 0), owners AS (SELECT DISTINCT owner FROM p WHERE page_id % 7 = 0 AND page_id % 2 = 1)
+SELECT page_id::VARCHAR AS id, NOT (path IN (FROM excluded) AND node_type = 'blob' OR owner IN (FROM owners) OR path LIKE '/de/%1%' AND path LIKE '%/9_') AND (node_type <> 'document' OR host IN (FROM wanted) OR starts_with(path, '/fr')) AS in_scope FROM p""")
+def scope_rules(spark, sf_dir):
+    """Thousands of rules, taken from the pages themselves, as one join."""
+    k = F.col("page_id")
+    host, path = F.regexp_extract("url", "://([^/?#]*)", 1), F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
+    kind = F.when(k % 3 == 0, F.lit("blob")).otherwise(F.lit("document"))
+    owner = F.when(k % 2 == 0, F.lit("A@x.org")).otherwise(F.concat(F.lit("o"), k.cast("string")))
+    nodes = table(spark, sf_dir, "pages").select(
+        k.cast("string").alias("id"), k.alias("k"), host.alias("name"), path.alias("path"), F.lit("text/html").alias("mime"), F.lit(None).cast("string").alias("drive_id"), kind.alias("node_type"), F.array(owner).alias("owners"),
+        F.array(F.substring(path, 1, 3), F.lit("root")).alias("ancestors"),
+    )
+    rule = lambda cond, effect, kind, value, applies: nodes.where(cond).select(F.lit(effect).alias("effect"), F.lit(kind).alias("kind"), value.alias("value"), F.lit(applies).alias("applies_to"))
+    n = F.col("k")
+    rules = rule(n % 5 == 0, "exclude", "path", F.col("path"), "blob").unionByName(rule(n % 4 != 0, "include", "name", F.col("name"), "document"))
+    rules = rules.unionByName(rule((n % 7 == 0) & (n % 2 == 1), "exclude", "owner", F.upper(F.get("owners", 0)), None))
+    more = spark.sql("SELECT * FROM VALUES ('exclude', 'path', '/de/*1*/9?', ''), ('include', 'subtree', '/fr', 'document'), ('exclude', 'name', 'no[a-b]where*', '') t(effect, kind, value, applies_to)")
+    return scope.judge(nodes, rules.unionByName(more)).select("id", "in_scope")

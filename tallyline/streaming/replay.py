@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tallyline.sources.cursors import MetaStore
 from tallyline.sources.listings import replay
@@ -129,6 +130,62 @@ def absence_stream(sightings: DataFrame) -> DataFrame:
     )
 
 
+ABSENCE_SCHEMA = "key string, missing_run_count long, missing_since long, due boolean"
+
+
+class AbsenceTimer(StatefulProcessor):
+    """Of each key how many complete scans in a row missed it, since when, and whether both limits are reached: ``runs`` scans and ``milliseconds``.
+
+    Value state holds the count and the time of the first missing scan; a processing-time timer is set for when the time is up. A row goes out at every
+    scan of the key (``due`` if both hold by then) and when the timer fires with the runs reached: whichever comes last makes a key due. A
+    sighting deletes the timer and starts anew.
+    """
+
+    def __init__(self, runs: int, milliseconds: int):
+        self.runs, self.milliseconds = runs, milliseconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("absence", "n long, since long")
+
+    def _forget_timers(self) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+
+    def _row(self, key: tuple, n: int, since: int | None, now: int) -> pd.DataFrame:
+        due = since is not None and n >= self.runs and now - since >= self.milliseconds
+        return pd.DataFrame({"key": [key[0]], "missing_run_count": [n], "missing_since": pd.array([since], dtype="Int64"), "due": [due]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        n, since = self.state.get() if self.state.exists() else (0, None)
+        frame = pd.concat(list(rows), ignore_index=True).sort_values("scan")  # a key's scans in one batch: few
+        for seen, complete in frame[["seen", "complete"]].itertuples(index=False):
+            if seen:
+                n, since = 0, None
+                self._forget_timers()
+            elif complete:
+                n += 1
+                if since is None:
+                    since = now
+                    self.handle.registerTimer(now + self.milliseconds)
+        self.state.update((n, since))
+        yield self._row(key, n, since, now)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, since = self.state.get()
+        if since is not None and n >= self.runs:
+            yield self._row(key, n, since, max(timerValues.getCurrentProcessingTimeInMs(), since + self.milliseconds))
+
+    def close(self) -> None:
+        pass
+
+
+def absence_timers(sightings: DataFrame, runs: int, milliseconds: int) -> DataFrame:
+    """Streaming absence of (key, scan, seen, complete) with both limits (``AbsenceTimer``). Needs the RocksDB state store."""
+    return sightings.groupBy("key").transformWithStateInPandas(AbsenceTimer(runs, milliseconds), ABSENCE_SCHEMA, "Update", "ProcessingTime")
+
+
 class AlertOnChange:
     """``foreachBatch`` target that calls ``send`` only when the findings' fingerprint differs from the last one sent.
 
