@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.canon import error_code
@@ -67,6 +67,16 @@ def source_unchanged(stored: Mapping, live: Mapping, spec: str) -> bool:
     return same and stored.get("spec_version") == spec and bool(stored.get("read_complete")) and not stored.get("blocked")
 
 
+def fast_path(stored: str, live: str, spec: str) -> Column:
+    """``source_unchanged`` and an unchanged target, of structs in many rows: ``stored`` has version, modified, spec_version, read_complete, blocked, count, latest;
+    ``live`` has version, modified, count, latest. The target's count and latest change both count: a delete moves only one, an edit only the other."""
+    s, v = F.col(stored), F.col(live)
+    known = s["version"].isNotNull() & s["modified"].isNotNull() & (s["version"] == v["version"]) & (s["modified"] == v["modified"])
+    sound = (s["spec_version"] == spec) & F.coalesce(s["read_complete"], F.lit(False)) & ~F.coalesce(s["blocked"], F.lit(False))
+    target = s["count"].eqNullSafe(v["count"]) & s["latest"].eqNullSafe(v["latest"])
+    return F.coalesce(known & sound & target, F.lit(False))
+
+
 def target_fingerprint(df: DataFrame, write_date: str) -> dict:
     r = df.agg(F.count(F.lit(1)).alias("count"), F.max(write_date).alias("max_write_date")).first()
     return {"count": r["count"], "max_write_date": r["max_write_date"]}

@@ -62,6 +62,15 @@ def structural(source: Snapshot, target: Snapshot) -> list[str]:
     return found
 
 
+def structural_findings(datasets: DataFrame) -> DataFrame:
+    """(dataset, finding, position) of datasets (dataset, read_complete, blocked, source_rows, target_rows): what blocks their comparison, in order of precedence."""
+    reasons = F.array(
+        F.when(~F.coalesce("read_complete", F.lit(False)), F.lit("read_incomplete")), F.when((F.col("source_rows") == 0) & (F.col("target_rows") > 0), F.lit("empty_tab")),
+        F.when(F.coalesce("blocked", F.lit(False)), F.lit("header_change")),
+    )
+    return datasets.select("dataset", F.posexplode(F.array_compact(reasons)).alias("position", "finding"))
+
+
 def delete_guard(policy: Policy, *, read_complete: bool, blocked: bool, now: datetime) -> Column:
     """The first guard that withholds a delete of a target row, null if none does."""
     hours = F.lit(now.astimezone(timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz") - F.expr(f"INTERVAL '{policy.quarantine_hours}' HOUR")

@@ -621,7 +621,7 @@ def domain_filter(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tallyline import source_queries, state_queries  # noqa: F401  register the rest
+    from tallyline import ops_queries, source_queries, state_queries  # noqa: F401  register the rest
 
     return dict(QUERIES)
 

@@ -46,6 +46,12 @@ def enumerate_files(pages: DataFrame, predicate: Column | None = None) -> Read:
     return Read(rows if predicate is None else rows.where(predicate), not reasons, reasons)
 
 
+def corpus(files: DataFrame, variant: str, *, drive_id: str | None = None, include_trashed: bool = False) -> DataFrame:
+    """A variant of the corpus as filters that reach the scan: ``user`` (no shared drive), ``drive`` (one of them), ``shared`` (with the user) or ``all``."""
+    own = {"user": F.col("driveId").isNull(), "drive": F.col("driveId") == drive_id, "shared": F.col("sharedWithMeTime").isNotNull(), "all": F.lit(True)}[variant]
+    return files.where(own if include_trashed else own & ~F.coalesce("trashed", F.lit(False)))
+
+
 def union_corpora(files: DataFrame, ranks: Sequence[str]) -> DataFrame:
     """One row for each file id: that of the first corpus in ``ranks`` (others after, by name)."""
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, ranks)), F.col("corpus")), F.lit(0)) if ranks else F.lit(0)

@@ -85,6 +85,20 @@ def run_state(failed: bool, complete: bool, errors: int) -> str:
     return "failed" if failed else "partial" if errors or not complete else "done"
 
 
+def run_records(lines: DataFrame) -> DataFrame:
+    """(run, lines, errors, complete, reason, state) of the log lines (run, seq, level, incomplete) of many runs.
+
+    ``incomplete`` is why a read was incomplete at a line, else null: the first reason counts. A run with a ``fatal`` line failed,
+    one with errors or an incomplete read is partial.
+    """
+    out = lines.groupBy("run").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("level") == "error").alias("errors"), F.max(F.col("level") == "fatal").alias("failed"),
+        F.min(F.when(F.col("incomplete").isNotNull(), F.struct("seq", "incomplete")))["incomplete"].alias("reason"),
+    )
+    state = F.when(F.col("failed"), F.lit("failed")).when((F.col("errors") > 0) | F.col("reason").isNotNull(), F.lit("partial")).otherwise(F.lit("done"))
+    return out.select("run", "lines", "errors", F.col("reason").isNull().alias("complete"), "reason", state.alias("state"))
+
+
 class Run:
     """A run's log: counters, stages and the first reason for an incomplete read."""
 

@@ -84,6 +84,16 @@ def needs_full_scan(cursor: str | None, valid: bool, age_seconds: float | None,
     return not cursor or not valid or age_seconds is None or age_seconds > full_interval
 
 
+def full_scan_due(cursor: Column, valid: Column, age_seconds: Column, full_interval: float) -> Column:
+    """``needs_full_scan`` of many subjects."""
+    return F.coalesce(cursor == "", F.lit(True)) | ~F.coalesce(valid, F.lit(False)) | age_seconds.isNull() | (age_seconds > full_interval)
+
+
+def wait_seconds(failures: Column, interval: float, first: float = 5.0) -> Column:
+    """``backoff`` of many subjects."""
+    return F.when(failures <= 0, F.lit(interval)).otherwise(F.least(F.lit(interval), F.lit(first) * F.pow(F.lit(2.0), failures - 1)))
+
+
 def absence(scans: DataFrame, seen: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, missing_run_count, missing_since) after ordered scans (scan, at, complete) with sightings (scan, key).
 
