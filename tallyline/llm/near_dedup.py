@@ -41,8 +41,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 10, 4
 TABLE = 600_000
 SMALL = 12
-#: Of 64 parts of a bucket by hash, the hubs of the rounds: 1, 4, 16, then all others.
-HUB_PARTS = (1, 5, 21, 64)
+#: Of 64 parts of a bucket by hash, the hubs of the rounds after the central text's: 4, then all others. Classes are joined, and all
+#: members labelled anew, between rounds; a sixteenth of a class is enough to join nearly all of it.
+HUB_PARTS = (4, 64)
 #: Samples j, j + TRIPLES and j + 2 * TRIPLES form the key j of a finer bucket; those of the bucket's own band are left out.
 TRIPLES = BANDS * ROWS // 3
 #: Of the 40 samples, so many must agree before a pair of a large bucket is verified: four standard deviations under the

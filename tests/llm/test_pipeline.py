@@ -133,10 +133,61 @@ def test_empty_documents_pass_through(spark):
         assert stage(spark, corpus_pipeline.materialize(docs, "test-empty"), SF).count() == 0
 
 
+def messy(spark):
+    """Real documents with nulls in every column, an empty and a very long text, ties, repeated rows, and columns whose names the stages use themselves."""
+    real = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    long = next(t for _, t, lang, _, _ in real if lang == "en" and len(t or "") > 2000)
+    rows = real[:120] + real[:40] + [(9001, None, "en", None, None), (9002, "", None, "x", 0), (9003, (long + "\n") * 60, "en", None, 5), (None, long, "en", None, None), (None, real[3][1], None, None, None), (9004, long, None, None, None)]
+    rows = [(*r, i % 7 or None, i % 2 == 0, 0.5, "t") for i, r in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rid long, kept boolean, score double, label string"
+    return corpus_pipeline.materialize(spark.createDataFrame(rows, schema).repartition(5), "test-messy"), rows
+
+
+def test_stages_on_messy_documents(spark):
+    docs, rows = messy(spark)
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda r: tuple(map(str, r))
+    out = {name: sorted(map(tuple, stages[name](spark, docs, SF).collect()), key=key) for name in list(stages)[:-1]}
+    rules = quality_rules.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert out["quality rules"] == sorted((r for r in rows if brute.kept(r[1], rules)), key=key)
+    found = brute.languages([(t, lang) for _, t, lang, *_ in rows if lang is not None], [r[1] for r in rows])
+    assert out["language ID"] == sorted((r for r, (lang, score) in zip(rows, found) if lang != "und" and score >= corpus_pipeline.LEAST_SCORE), key=key)
+    groups = defaultdict(list)
+    for r in rows:
+        groups[brute.normalised(r[1])].append(r)
+    first = lambda g: min((r[0] is None, r[0] or 0) for r in g)
+    assert len(out["exact dedup"]) == len(groups)
+    assert {brute.normalised(r[1]): (r[0] is None, r[0] or 0) for r in out["exact dedup"]} == {t: first(g) for t, g in groups.items()}
+    classes = brute.near_classes([(i, r[1]) for i, r in enumerate(rows)])
+    assert len(out["near dedup"]) == len(set(classes.values()))
+    lowest = {c: min((r[0] is None, r[0] or 0) for i, r in enumerate(rows) if classes[i] == c) for c in set(classes.values())}
+    assert sorted((r[0] is None, r[0] or 0) for r in out["near dedup"]) == sorted(lowest.values())
+    pieces, t = corpus_pipeline.pack(spark, docs, SF).collect(), library("word_bpe_49k.json")
+    assert sum(p["length"] for p in pieces) == sum(len(t.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in rows)
+    assert {p["doc_id"] for p in pieces} == {r[0] for r in rows}
+    by_sequence = defaultdict(list)
+    for p in pieces:
+        by_sequence[p["sequence_id"]].append((p["offset"], p["length"]))
+    for parts in by_sequence.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= queries.SEQUENCE
+
+
+def test_model_queries(spark, texts):
+    import test_models
+
+    rows = {r["doc_id"]: tuple(r) for r in queries.op13_lm_score(spark, SF).collect()}
+    from tallyline.llm import lm_score
+
+    for want in test_models.plain_scores(list(texts.items()), lm_score.ORDER, lm_score.PRIOR):
+        got = rows[want[0]]
+        assert got[:5] == want[:5] and np.allclose(got[5:], want[5:], rtol=1e-9)
+
+
 def test_oracles(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in queries.oracle_sql().items():
         got = queries.queries()[name](spark, SF)
