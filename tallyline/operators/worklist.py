@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.text import join_key
+from tallyline.plans.contract import ContractError, build, spec_version, validate
 
 
 def due_tabs(tabs: DataFrame, files: DataFrame, fingerprints: DataFrame, connection: str | None = None) -> DataFrame:
@@ -42,6 +46,21 @@ def bind_headers(live: DataFrame, contract: DataFrame, ascii_only: bool = False)
     return both.select("dataset_id", F.coalesce("l_header", "c_header").alias("header"), "key", status.alias("status"))
 
 
+@F.pandas_udf("struct<valid boolean, reason string, spec string>")
+def checked(declared: pd.Series) -> pd.DataFrame:
+    """Of declarations of columns as JSON: whether each is a usable contract, why not, and its spec version. Data never raises."""
+
+    def one(text: str | None) -> tuple:
+        try:
+            c = build(json.loads(text or ""))
+            validate([c])
+            return True, None, spec_version([c])
+        except (ContractError, TypeError, ValueError, AttributeError) as e:
+            return False, str(e) if isinstance(e, ContractError) else type(e).__name__, None
+
+    return pd.DataFrame([one(x) for x in declared], columns=["valid", "reason", "spec"])
+
+
 def valid_digests(cache: DataFrame, contracts: DataFrame) -> DataFrame:
     """(dataset_id, digest) for each contract (dataset_id, spec_version); null where the cache (dataset_id, spec_version, digest) is of another contract.
 

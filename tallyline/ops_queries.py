@@ -341,3 +341,21 @@ def marked_findings(spark, sf_dir):
     k, c = F.col("c_custkey"), table(spark, sf_dir, "customer")
     found = c.select("c_custkey", F.element_at(F.array(*map(F.lit, ("open", "planned", "applied"))), (k % 3 + 1).cast("int")).alias("resolution"))
     return reporting.mark(found, c.where(k % 2 == 0), ["c_custkey"], "ignored")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 8 AS m FROM customer)
+SELECT k AS custkey, m NOT IN (1, 3, 5, 6) AS valid, CASE m WHEN 1 THEN 'k' || k || ': a word is both true and false' WHEN 3 THEN 'k' || k || ': the scale must be resolved and within 0 to 12'
+  WHEN 5 THEN '''2k' || k || ''' is no identifier' WHEN 6 THEN 'JSONDecodeError' END AS reason, CASE WHEN m NOT IN (1, 3, 5, 6) THEN 1 ELSE 0 END::BIGINT AS specs FROM c""")
+def contract_checks(spark, sf_dir):
+    """A declaration for each customer: overlapping words, unresolved scales, bad keys and broken JSON are refused, the others have one version each."""
+    k = F.col("c_custkey")
+    key, m = F.concat(F.lit("k"), k.cast("string")), k % 8
+    quoted = lambda c: F.concat(F.lit('{"key":"'), c, F.lit('",'))
+    declared = (
+        F.when(m == 1, F.concat(quoted(key), F.lit('"ctype":"bool","truthy":["yes","Ja"],"falsy":["JA"]}'))).when(m == 2, F.concat(quoted(key), F.lit('"ctype":"bool","truthy":["ja"],"falsy":["nein"]}')))
+        .when(m == 3, F.concat(quoted(key), F.lit('"ctype":"money","scale":null}'))).when(m == 4, F.concat(quoted(key), F.lit('"ctype":"date","date_formats":["%d.%m.%Y"],"unheard":1}')))
+        .when(m == 5, F.concat(quoted(F.concat(F.lit("2"), key)), F.lit('"ctype":"text"}'))).when(m == 6, quoted(key)).otherwise(F.concat(quoted(key), F.lit('"ctype":"number","scale":3}')))
+    )
+    rows = table(spark, sf_dir, "customer").select(k.alias("custkey"), worklist.checked(declared).alias("c"), worklist.checked(declared).alias("again"))
+    same = F.when(F.col("c.spec") == F.col("again.spec"), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    return rows.select("custkey", "c.valid", "c.reason", same.alias("specs"))

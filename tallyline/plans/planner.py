@@ -17,7 +17,7 @@ from tallyline.functions.canon import is_error, payload, tag
 from tallyline.functions.identifiers import derived_ulid
 from tallyline.operators.compare import classified, field_differences
 from tallyline.operators.identity import cascade
-from tallyline.operators.staging import Snapshot
+from tallyline.operators.staging import Snapshot, join_counts
 from tallyline.sources.scratch import store
 
 
@@ -152,12 +152,13 @@ def plan(source: Snapshot, target: Snapshot, policy: Policy, now: datetime) -> P
         return df.select(kind.alias("finding"), *(text(n) for n in ("key", "lid", "rid", "field", "delta_class", "source_token", "target_token")))
 
     # Duplicate identities leave both sides first.
-    def repeated(df: DataFrame, by: str) -> DataFrame:
-        return df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(by)
+    def repeated(by: str) -> DataFrame:
+        """The rows whose identity others share; the rows of a frequent one are spread (``join_counts``)."""
+        ids = left.select("lid", by)
+        n = store(ids.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "plan-counts")
+        return join_counts(ids, n, by, "n").where(F.col("n").isNotNull()).select("lid")
 
-    twice = repeated(left, "sync_id")
-    duplicate = left.join(twice, "sync_id", "left_semi").select("lid").unionByName(left.join(repeated(left, "natural_key"), "natural_key", "left_semi").select("lid")).distinct()
-    duplicate = store(duplicate, "plan-duplicates")
+    duplicate = store(repeated("sync_id").unionByName(repeated("natural_key")).distinct(), "plan-duplicates")
     found = finding(left.join(duplicate, "lid", "left_semi"), "duplicate_identity", key=F.col("natural_key"), lid=F.col("lid"))
     has_duplicates = bool(duplicate.limit(1).count())
     if has_duplicates:
