@@ -1,10 +1,11 @@
 """WARC archives as a chunked record table.
 
-An archive is a Parquet table of chunk rows: (record_id, archive, chunk_no, n_chunks, bytes, crc32). The chunks of a
+An archive is a Parquet table of chunk rows: (record_id, archive, chunk_no, n_chunks, bytes, crc32, running). The chunks of a
 record, in order, are the bytes of one WARC/1.1 record: header, payload, two line ends; all records of an archive in a
 row are a valid .warc file (``export_warc``). A payload larger than a chunk becomes several rows, cut in the JVM, so
-that neither a Python worker nor a reader ever holds it whole; each row carries the checksum of its bytes and readers
-carry the running SHA-1 from chunk to chunk.
+that neither a Python worker nor a reader ever holds it whole. Each row carries the checksum of its bytes and ``running``, the SHA-1 of the
+payload up to its end: a writer adds one chunk at a time to the running digest, a reader checks it at every chunk, so a record that is
+read in part is known to be good so far.
 
 Writing: payloads are digested natively; of records with equal payloads, the one with the largest page id is the
 ``response``, the others are ``revisit`` records that refer to it.
@@ -25,9 +26,11 @@ from pyspark.sql import functions as F
 from tallyline.llm.common import attach, lean, materialize, small_batches
 
 CHUNK_BYTES = 1 << 20
+#: What ends a record.
+END = b"\r\n\r\n"
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-TABLE_SCHEMA = "record_id string, archive int, chunk_no int, n_chunks int, bytes binary, crc32 long"
+TABLE_SCHEMA = "record_id string, archive int, chunk_no int, n_chunks int, bytes binary, crc32 long, running binary"
 READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _RADIX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -84,12 +87,30 @@ def write_warc(
     cut = tagged.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("last"))))
     piece = F.call_function("substring", F.col("body"), F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))
     full = F.concat(
-        F.when(F.col("chunk_no") == 0, F.col("header")).otherwise(F.lit(b"")), piece, F.when(F.col("chunk_no") == F.col("last"), F.lit(b"\r\n\r\n")).otherwise(F.lit(b""))
+        F.when(F.col("chunk_no") == 0, F.col("header")).otherwise(F.lit(b"")), piece, F.when(F.col("chunk_no") == F.col("last"), F.lit(END)).otherwise(F.lit(b""))
     )
-    out = cut.select("record_id", "archive", "chunk_no", (F.col("last") + 1).alias("n_chunks"), full.alias("bytes")).withColumn("crc32", F.crc32("bytes"))
+    head = F.when(F.col("chunk_no") == 0, F.octet_length("header")).otherwise(F.lit(0)).cast("int").alias("head")
+    out = cut.select("record_id", "archive", "chunk_no", (F.col("last") + 1).alias("n_chunks"), full.alias("bytes"), head).withColumn("crc32", F.crc32("bytes"))
+    small_batches(spark)
+    out = out.select("record_id", "archive", "chunk_no", "n_chunks", "bytes", "crc32", "head").mapInArrow(lean(_running), TABLE_SCHEMA)
     out.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunk rows as they are cut, those of a record one after another, with the SHA-1 of the payload up to each chunk's end."""
+    sha = hashlib.sha1()
+    for batch in batches:
+        found = []
+        for i, (no, n, head) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 6)))):
+            if no == 0:
+                sha = hashlib.sha1()
+            data = batch.column(4)[i].as_buffer()
+            end = data.size - (len(END) if no == n - 1 else 0)
+            sha.update(memoryview(data)[head:end])
+            found.append(sha.digest())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(found, pa.binary())], [*batch.schema.names[:6], "running"])
+
+
 _page = re.compile(r"<urn:page:(-?\d+|none)>")
 
 
@@ -116,7 +137,7 @@ class RecordParser:
 
     def finish(self) -> tuple:
         f = self.fields
-        if f is None or self.left or self.tail != b"\r\n\r\n":
+        if f is None or self.left or self.tail != END:
             raise ValueError("a WARC record is cut short")
         digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
         if f["WARC-Type"] == "response" and base64.b32encode(self.sha.digest()).decode() != digest:
@@ -133,7 +154,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     for batch in batches:
         rows = []
-        for record, no, n, data, crc in zip(*(c.to_pylist() for c in batch.columns)):
+        for record, no, n, data, crc, running in zip(*(c.to_pylist() for c in batch.columns)):
             if zlib.crc32(data) != crc:
                 raise ValueError("a chunk is damaged")
             if parser is None:
@@ -141,6 +162,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if record != current or no != expected:
                 raise ValueError("a chunk is missing")
             parser.feed(data)
+            if parser.sha.digest() != running:
+                raise ValueError("a payload disagrees with its running digest")
             expected += 1
             if expected == count:
                 rows.append(parser.finish())
@@ -157,7 +180,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     Records of one chunk are parsed where they lie; the chunks of longer ones are brought together and read in order.
     """
     table = spark.read.schema(TABLE_SCHEMA).parquet(path)
-    columns = ["record_id", "chunk_no", "n_chunks", "bytes", "crc32"]
+    columns = ["record_id", "chunk_no", "n_chunks", "bytes", "crc32", "running"]
     small_batches(spark)
     short = table.where(F.col("n_chunks") == 1).select(columns).mapInArrow(lean(_parse), READ_SCHEMA)
     long = table.where(F.col("n_chunks") > 1).select(columns).repartition("record_id").sortWithinPartitions("record_id", "chunk_no")

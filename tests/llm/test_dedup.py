@@ -9,6 +9,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,23 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_warc_running_digests(spark):
+    """Each chunk says what the payload's SHA-1 is up to its end; a reader stops at the first chunk that disagrees."""
+    payload = "".join(chr(97 + i % 26) for i in range(1000))
+    path = scratch_path(spark, "test-warc")
+    warc.write_warc(spark.createDataFrame([(1, "http://h/", payload), (2, None, None)], "page_id long, url string, html string"), path, chunk_bytes=64)
+    rows = spark.read.parquet(path).where("n_chunks > 1").orderBy("chunk_no").collect()
+    assert len(rows) == 16 and all(r["running"] == hashlib.sha1(payload[: 64 * (i + 1)].encode()).digest() for i, r in enumerate(rows))
+    names = [c.split()[0] for c in warc.TABLE_SCHEMA.split(", ")]
+    wanted = ["record_id", "chunk_no", "n_chunks", "bytes", "crc32", "running"]
+    batch = lambda rows: pa.RecordBatch.from_pylist([{n: r[n] for n in wanted} for r in rows])
+    assert names[-1] == "running" and len(list(warc._parse(iter([batch(rows)])))) == 1
+    bad = [r.asDict() for r in rows]
+    bad[3]["running"] = bad[4]["running"]
+    with pytest.raises(ValueError, match="running"):
+        list(warc._parse(iter([batch(bad)])))
+
+
 def test_warc_damage(spark):
     p = warc.RecordParser()
     p.feed(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Payload-Digest: sha1:AAAA\r\nContent-Length: 1\r\n\r\nx\r\n\r\n")
