@@ -40,8 +40,9 @@ def keyed_comparison(left: DataFrame, right: DataFrame, key: str = "key") -> Dat
 
 def delta_class(a: Column, b: Column, c: Contract) -> Column:
     """cosmetic, rounding or substantive, of two differing readable tokens. Tolerance only ever downgrades."""
-    # Only text tokens have a cosmetic form.
-    cosmetic = folded(a, c.ascii_only) == folded(b, c.ascii_only) if c.ctype == "text" else a == b
+    # Only text columns may hold what Python has to fold.
+    ascii_only = c.ascii_only or c.ctype != "text"
+    cosmetic = folded(a, ascii_only) == folded(b, ascii_only)
     x, y = payload(a).try_cast("decimal(38,18)"), payload(b).try_cast("decimal(38,18)")
     gap = F.abs(x - y)
     step = F.lit(f"{10.0 ** -(c.scale or 0):.12f}").cast("decimal(20,12)") * F.lit(ROUNDING_STEPS).cast("decimal(3,2)")

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyline.functions.text import join_key
 from tallyline.plans.contract import ContractError, build, spec_version, validate
@@ -46,7 +47,7 @@ def bind_headers(live: DataFrame, contract: DataFrame, ascii_only: bool = False)
     return both.select("dataset_id", F.coalesce("l_header", "c_header").alias("header"), "key", status.alias("status"))
 
 
-@F.pandas_udf("struct<valid boolean, reason string, spec string>")
+@F.pandas_udf(T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("reason", T.StringType()), T.StructField("spec", T.StringType())]))
 def checked(declared: pd.Series) -> pd.DataFrame:
     """Of declarations of columns as JSON: whether each is a usable contract, why not, and its spec version. Data never raises."""
 
