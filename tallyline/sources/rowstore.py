@@ -39,19 +39,25 @@ class BucketTable:
         #: Rows that the last change read and wrote.
         self.rows_read = self.rows_written = 0
 
-    def manifest(self, before: int | None = None) -> DataFrame | None:
-        """(version, bucket, generation, n, ...) of the buckets that have rows, of the last version (before one); None if there is none."""
+    def _manifests(self) -> DataFrame | None:
+        """All manifests that are kept. Each has a row of bucket -1, so that one without rows is a version, too."""
         try:
-            every = self.spark.read.parquet(f"{self.path}/manifest")
+            return self.spark.read.parquet(f"{self.path}/manifest")
         except AnalysisException:
             return None
+
+    def manifest(self, before: int | None = None) -> DataFrame | None:
+        """(version, bucket, generation, n, ...) of the buckets that have rows, of the last version (before one); None if there is none."""
+        every = self._manifests()
+        if every is None:
+            return None
         every = every if before is None else every.where(F.col("version") < before)
         last = every.agg(F.max("version")).first()[0]
-        return None if last is None else every.where(F.col("version") == last)
+        return None if last is None else every.where((F.col("version") == last) & (F.col("bucket") >= 0))
 
     def version(self) -> int:
-        m = self.manifest()
-        return 0 if m is None else m.agg(F.max("version")).first()[0]
+        every = self._manifests()
+        return 0 if every is None else every.agg(F.max("version")).first()[0]
 
     def describe(self, rows: DataFrame) -> DataFrame:
         """What the manifest says of each bucket of stored rows: (bucket, n, ...)."""
@@ -70,12 +76,37 @@ class BucketTable:
         return about.select("bucket", F.lit(generation).alias("generation"), *(c for c in about.columns if c != "bucket"))
 
     def _commit(self, manifest: DataFrame, version: int) -> None:
-        manifest.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/version={version}")  # a row a bucket
-        jvm = self.spark._jvm
-        seen = sorted(r[0] for r in self.spark.read.parquet(f"{self.path}/manifest").select("version").distinct().collect())
-        for old in seen[:-KEPT]:
-            gone = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/version={old}")
-            gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
+        """Make a version current; manifests before the last ``KEPT`` go, and the rows of buckets that no manifest names any more."""
+        mark = self.spark.range(1).select(F.lit(-1).alias("bucket"), F.lit(version).alias("generation"), F.lit(0).cast("bigint").alias("n"))
+        rows = manifest.unionByName(mark, allowMissingColumns=True)  # a row a bucket
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/version={version}")
+        named = self.spark.read.parquet(f"{self.path}/manifest").select("version", "generation", "bucket").collect()
+        last = sorted({r["version"] for r in named})[-KEPT:]
+        for old in {r["version"] for r in named} - set(last):
+            self._delete(f"{self.path}/manifest/version={old}")
+        kept = {(r["generation"], r["bucket"]) for r in named if r["version"] in last}
+        live = {g for g, _ in kept}
+        for g, folder in self._folders(f"{self.path}/rows"):
+            if g not in live:
+                self._delete(folder)
+                continue
+            for b, part in self._folders(folder):
+                if (g, b) not in kept:
+                    self._delete(part)
+
+    def _path(self, path: str):
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _delete(self, path: str) -> None:
+        found, fs = self._path(path)
+        fs.delete(found, True)
+
+    def _folders(self, path: str) -> list[tuple[int, str]]:
+        """(number, path) of folders named ``<what>=<number>``."""
+        root, fs = self._path(path)
+        names = [str(s.getPath()) for s in fs.listStatus(root)] if fs.exists(root) else []
+        return [(int(n.rpartition("=")[2]), n) for n in names if "=" in n.rpartition("/")[2]]
 
     def replace(self, rows: DataFrame, version: int | None = None) -> None:
         """All rows anew."""
