@@ -2,11 +2,12 @@
 
 The offset of a subject is the token of the page to read next, so the stream's checkpoint is the cursor: a stopped query
 goes on with the page after the last committed one, and a batch that was cut off is read again, page by page. The driver follows tokens
-only, a bounded number of pages a batch; executors fetch the pages' changes, a partition for each page.
+only, a bounded number of pages a batch; executors fetch the pages' changes, a partition for each page, and hold a bounded number of them at once.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any
@@ -17,8 +18,10 @@ from pyspark.sql.types import StructType
 
 from tallyline.sources.listings import CHANGE_SCHEMA, MAX_CHANGE_PAGES
 
-#: (subject, token) -> page: ``changes`` (a list of change records), ``nextPageToken`` or, on the last page, ``newStartPageToken``.
+#: (subject, token) -> page: ``changes`` (change records, a list or read as they are asked for), ``nextPageToken`` or, on the last page, ``newStartPageToken``.
 Fetch = Callable[[str, str], Mapping[str, Any]]
+#: Changes of a page that a task holds at once.
+BATCH_ROWS = 4096
 
 
 class FeedError(RuntimeError):
@@ -34,8 +37,9 @@ class _Page(InputPartition):
 class FeedReader(DataSourceStreamReader):
     """Reads from ``start`` (subject -> token), at most ``pages`` pages of a subject in a batch."""
 
-    def __init__(self, fetch: Fetch, start: Mapping[str, str], schema: StructType, pages: int):
+    def __init__(self, fetch: Fetch, start: Mapping[str, str], schema: StructType, pages: int, tokens: Fetch | None = None):
         self.fetch, self.start, self.schema, self.pages = fetch, dict(start), schema, pages
+        self.tokens = tokens or fetch
         self.at: dict[str, str] | None = None
         self.following: dict[tuple[str, str], tuple[str, bool, bool]] = {}
 
@@ -45,7 +49,7 @@ class FeedReader(DataSourceStreamReader):
     def _next(self, subject: str, token: str) -> tuple[str, bool, bool]:
         """The token after a page, whether more pages follow now, and whether the page has changes."""
         if (subject, token) not in self.following:
-            page = self.fetch(subject, token)
+            page = self.tokens(subject, token)
             more = page.get("nextPageToken")
             after = more or page.get("newStartPageToken")
             if not after:
@@ -90,19 +94,21 @@ class FeedReader(DataSourceStreamReader):
     def read(self, partition: _Page) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        rows = [{"subject": partition.subject, **c} for c in self.fetch(partition.subject, partition.token).get("changes") or ()]
-        yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(self.schema))
+        schema = to_arrow_schema(self.schema)
+        changes = iter(self.fetch(partition.subject, partition.token).get("changes") or ())
+        while rows := [{"subject": partition.subject, **c} for c in itertools.islice(changes, BATCH_ROWS)]:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     def commit(self, end: dict) -> None:
         """The checkpoint has the offset; what was walked up to it isn't needed again."""
         self.following.clear()
 
 
-def change_feed(fetch: Fetch, start: Mapping[str, str], pages: int = MAX_CHANGE_PAGES, name: str = "change_feed") -> type[DataSource]:
+def change_feed(fetch: Fetch, start: Mapping[str, str], pages: int = MAX_CHANGE_PAGES, name: str = "change_feed", tokens: Fetch | None = None) -> type[DataSource]:
     """A data source to register (``spark.dataSource.register``) and stream from: (subject, change fields).
 
-    ``fetch`` reads a page, on the driver for its tokens and on executors for its changes; ``start`` has the cursors of
-    new checkpoints. A checkpoint's own offset goes before ``start``.
+    ``fetch`` reads a page on executors; the driver asks ``tokens`` for the page without its changes (``changes``: how many, or any true value if
+    there are some), or ``fetch`` where none is given. ``start`` has the cursors of new checkpoints. A checkpoint's own offset goes before ``start``.
     """
 
     class ChangeFeed(DataSource):
@@ -114,23 +120,36 @@ def change_feed(fetch: Fetch, start: Mapping[str, str], pages: int = MAX_CHANGE_
             return f"subject string, {CHANGE_SCHEMA}"
 
         def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-            return FeedReader(fetch, start, schema, pages)
+            return FeedReader(fetch, start, schema, pages, tokens)
 
     return ChangeFeed
 
 
+def _lines(uri: str, folder: str) -> Iterator[dict]:
+    """The records of a folder's JSON lines, on any file system that Arrow opens; read as they are asked for."""
+    import io
+
+    from pyarrow import fs
+
+    files, root = fs.FileSystem.from_uri(uri)
+    found = files.get_file_info(fs.FileSelector(f"{root}/{folder}", allow_not_found=True))
+    for path in sorted(f.path for f in found if f.is_file and f.base_name.startswith("part-")):
+        with files.open_input_stream(path) as f:
+            yield from map(json.loads, io.TextIOWrapper(f, encoding="utf-8", newline="\n"))
+
+
 def stored_pages(uri: str) -> Fetch:
-    """Pages stored as JSON under ``uri/subject=<subject>/token=<token>/``, on any file system that Arrow opens."""
+    """Changes of pages stored as JSON lines under ``uri/subject=<subject>/token=<token>/``."""
+    return lambda subject, token: {"changes": _lines(uri, f"subject={subject}/token={token}")}
+
 
-    def fetch(subject: str, token: str) -> Mapping[str, Any]:
-        from pyarrow import fs
+def stored_tokens(uri: str) -> Fetch:
+    """Pages without their changes, stored as JSON lines (token, nextPageToken or newStartPageToken, changes: how many) under ``uri/subject=<subject>/``."""
+    known: dict[tuple[str, str], dict] = {}
 
-        files, root = fs.FileSystem.from_uri(uri)
-        folder = fs.FileSelector(f"{root}/subject={subject}/token={token}", allow_not_found=True)
-        parts = sorted(f.path for f in files.get_file_info(folder) if f.is_file and f.base_name.startswith("part-"))
-        if not parts:
-            return {"changes": [], "newStartPageToken": token}  # not written yet: the end of the feed for now
-        with files.open_input_stream(parts[0]) as f:
-            return json.loads(f.read())
+    def tokens(subject: str, token: str) -> Mapping[str, Any]:
+        if not known.get((subject, token), {}).get("nextPageToken"):  # not read yet, or the last page, which may grow
+            known.update({(subject, r["token"]): r for r in _lines(uri, f"subject={subject}")})
+        return known.get((subject, token)) or {"changes": 0, "newStartPageToken": token}  # not written yet: the end of the feed for now
 
-    return fetch
+    return tokens
