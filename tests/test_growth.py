@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyline import source_queries
+from tallyline.operators import tree
 from tallyline.sources import feed, listings
 
 
@@ -22,3 +23,17 @@ def test_a_page_is_read_in_parts_and_the_driver_sees_tokens_only(spark, tmp_path
     batches = [[b.num_rows for b in reader.read(p)] for p in parts]
     assert batches == [[1], [], [feed.BATCH_ROWS, feed.BATCH_ROWS, 4]] and asked == ["t0", "t1", "t2"]
     assert {r["time"] for b in reader.read(parts[0]) for r in b.to_pylist()} == {"ü \n"}
+
+
+def test_roots_equal_the_paths_and_stay_narrow(spark, monkeypatch):
+    nodes = [(f"n{i}", None if i % 3 == 0 else f"N{i}", [f"n{i - 1}"] if i % 50 else []) for i in range(200)]
+    nodes += [("a", "A", ["b"]), ("b", "B", ["a"]), ("c", "C", ["a"]), ("lost", "Lost", ["gone"]), ("below", "", ["lost"]), ("self", "Self", ["self", "n0"]), ("nul", None, None)]
+    df = spark.createDataFrame(nodes, "id string, name string, parents array<string>")
+    paths = {r["id"]: r for r in tree.resolve_paths(df).collect()}
+    assert (paths["n0"]["path"], paths["n4"]["path"], paths["below"]["path"], paths["nul"]["path"]) == ("/", "/N1/N2/N4", "/(orphans)/Lost/", "/")
+    cut, kinds = tree._cut, set()
+    monkeypatch.setattr(tree, "_cut", lambda d: kinds.update(t for _, t in d.dtypes) or cut(d))
+    got = {r["id"]: (r["root"], r["above"], r["depth"], r["orphan"]) for r in tree.resolve_roots(df).collect()}
+    ends = lambda a: (a[0], a[-1]) if a else (None, None)
+    assert got == {i: (*ends(r["ancestors"]), r["depth"], r["orphan"]) for i, r in paths.items()}
+    assert kinds == {"string", "int", "boolean"}  # no chain is written
