@@ -356,6 +356,7 @@ def contract_checks(spark, sf_dir):
         .when(m == 3, F.concat(quoted(key), F.lit('"ctype":"money","scale":null}'))).when(m == 4, F.concat(quoted(key), F.lit('"ctype":"date","date_formats":["%d.%m.%Y"],"unheard":1}')))
         .when(m == 5, F.concat(quoted(F.concat(F.lit("2"), key)), F.lit('"ctype":"text"}'))).when(m == 6, quoted(key)).otherwise(F.concat(quoted(key), F.lit('"ctype":"number","scale":3}')))
     )
-    rows = table(spark, sf_dir, "customer").select(k.alias("custkey"), worklist.checked(declared).alias("c"), worklist.checked(declared).alias("again"))
+    keys = worklist.spread(table(spark, sf_dir, "customer").select("c_custkey"))
+    rows = keys.select(k.alias("custkey"), worklist.checked(declared).alias("c"), worklist.checked(declared).alias("again"))
     same = F.when(F.col("c.spec") == F.col("again.spec"), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     return rows.select("custkey", "c.valid", "c.reason", same.alias("specs"))

@@ -1,9 +1,12 @@
 """Steps whose memory, traffic or tasks must not outgrow the input."""
 
+import json
+
 from pyspark.sql import functions as F
 
-from tallyline import source_queries
-from tallyline.operators import tree
+from tallyline import ops_queries, source_queries
+from tallyline.operators import tree, worklist
+from tallyline.plans.contract import jcs
 from tallyline.sources import feed, listings
 
 
@@ -37,3 +40,13 @@ def test_roots_equal_the_paths_and_stay_narrow(spark, monkeypatch):
     ends = lambda a: (a[0], a[-1]) if a else (None, None)
     assert got == {i: (*ends(r["ancestors"]), r["depth"], r["orphan"]) for i, r in paths.items()}
     assert kinds == {"string", "int", "boolean"}  # no chain is written
+
+
+def test_declarations_are_checked_by_many_tasks(spark, tmp_path, monkeypatch):
+    spark.range(1000).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(worklist, "CHECK_ROWS", 150)
+    got = ops_queries.contract_checks(spark, str(tmp_path))
+    sizes = [r["n"] for r in got.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 7 and sum(sizes) == 1000 and max(sizes) <= 150
+    text = "".join(map(chr, range(1, 128))) + "ü\u2028"
+    assert json.loads(jcs({"a": text, "b": "plain"})) == {"a": text, "b": "plain"}
