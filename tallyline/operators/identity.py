@@ -5,36 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.sources.scratch import store
+
+#: Rows of both sides for each partition of the cascade's joins.
+PART_ROWS = 200_000
 STRATEGIES = ("sync_id", "natural_key", "sync_id_then_key")
 
 
-def cascade(left: DataFrame, right: DataFrame, strategy: str = "sync_id_then_key") -> DataFrame:
+def cascade(left: DataFrame, right: DataFrame, strategy: str = "sync_id_then_key", rows: int | None = None) -> DataFrame:
     """(lid, rid, outcome): sync ids first, then natural keys among the rest. ``lid`` and ``rid`` are unique row ids.
 
     outcome: matched_sync_id, matched_key, multi_match (a source row whose key fits several target rows; they are
     consumed and never created or deleted), unmatched_source, unmatched_target. Ambiguous sync ids (repeated on a side) go
-    on to the second pass; ambiguous source keys pair with their target row by the least source id.
+    on to the second pass; ambiguous source keys pair with their target row by the least source id. Each pass is stored, and
+    the number of partitions follows from ``rows`` (of both sides, counted if not given), so that a task sorts a bounded number of rows.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}")
-    l0, r0 = left.select("lid", "sync_id", "natural_key"), right.select("rid", F.col("sync_id").alias("r_sync"), F.col("natural_key").alias("r_key"))
-    none = l0.select("lid", F.lit(None).cast(dict(r0.dtypes)["rid"]).alias("rid")).limit(0)
-    first = none
+    parts = (left.count() + right.count() if rows is None else rows) // PART_ROWS + 1
+    l0 = left.select("lid", "sync_id", "natural_key").repartition(parts, "lid")
+    r0 = right.select("rid", F.col("sync_id").alias("r_sync"), F.col("natural_key").alias("r_key")).repartition(parts, "rid")
+
+    def without(df: DataFrame, by: str, *taken: DataFrame) -> DataFrame:
+        """The rows of ``df`` that none of ``taken`` has."""
+        ids = taken[0].select(by)
+        for t in taken[1:]:
+            ids = ids.unionByName(t.select(by))
+        return df.join(ids.repartition(parts, by), by, "left_anti")
+
+    def paired(l: DataFrame, r: DataFrame, lk: str, rk: str, tag: str) -> DataFrame:
+        """(lid, rid, r_key, n): of each key that both sides have the least ids, and how many target rows have it."""
+        of_l = l.where(F.col(lk).isNotNull()).groupBy(F.col(lk).alias("k")).agg(F.min("lid").alias("lid")).repartition(parts, "k")
+        of_r = r.where(F.col(rk).isNotNull()).groupBy(F.col(rk).alias("k")).agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n")).repartition(parts, "k")
+        return store(of_l.join(of_r, "k").select("lid", "rid", F.col("k").alias("r_key"), "n"), tag)
+
+    l1, r1, taken = l0, r0, []
+    found = None
     if strategy != "natural_key":
-        once_l = l0.where(F.col("sync_id").isNotNull()).groupBy("sync_id").agg(F.min("lid").alias("lid"))
-        once_r = r0.where(F.col("r_sync").isNotNull()).groupBy("r_sync").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n")).where(F.col("n") == 1)
-        first = once_l.join(once_r, F.col("sync_id") == F.col("r_sync")).select("lid", "rid")
-    l1 = l0.join(first.select("lid"), "lid", "left_anti")
-    r1 = r0.join(first.select("rid"), "rid", "left_anti")
-    found = first.select("lid", "rid", F.lit("matched_sync_id").alias("outcome"))
+        first = paired(l0, r0, "sync_id", "r_sync", "cascade").where(F.col("n") == 1)
+        found = first.select("lid", "rid", F.lit("matched_sync_id").alias("outcome"))
+        l1, r1, taken = without(l0, "lid", first), without(r0, "rid", first), [first]
     if strategy != "sync_id":
-        keys_l = l1.where(F.col("natural_key").isNotNull()).groupBy("natural_key").agg(F.min("lid").alias("lid"))
-        keys_r = r1.where(F.col("r_key").isNotNull()).groupBy("r_key").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n"))
-        second = keys_l.join(keys_r, F.col("natural_key") == F.col("r_key"))
-        found = found.unionByName(second.select("lid", "rid", F.when(F.col("n") == 1, F.lit("matched_key")).otherwise(F.lit("multi_match")).alias("outcome")))
-        several = second.where(F.col("n") > 1).select("r_key")
-        r1 = r1.join(second.where(F.col("n") == 1).select("rid"), "rid", "left_anti").join(several, "r_key", "left_anti")
-        l1 = l1.join(second.select("lid"), "lid", "left_anti")
+        second = paired(l1, r1, "natural_key", "r_key", "cascade")
+        one = F.col("n") == 1
+        outcome = F.when(one, F.lit("matched_key")).otherwise(F.lit("multi_match"))
+        matched = second.select("lid", "rid", outcome.alias("outcome"))
+        found = matched if found is None else found.unionByName(matched)
+        l1 = without(l0, "lid", *taken, second)
+        r1 = without(without(r0, "rid", *taken, second.where(one)).repartition(parts, "r_key"), "r_key", second.where(~one))
     null = F.lit(None)
     return found.unionByName(l1.select("lid", null.cast(dict(r0.dtypes)["rid"]).alias("rid"), F.lit("unmatched_source").alias("outcome"))).unionByName(
         r1.select(null.cast(dict(l0.dtypes)["lid"]).alias("lid"), "rid", F.lit("unmatched_target").alias("outcome"))

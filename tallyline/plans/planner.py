@@ -168,7 +168,7 @@ def plan(source: Snapshot, target: Snapshot, policy: Policy, now: datetime) -> P
     found = found.unionByName(finding(bad, kinds, key=F.col("natural_key"), lid=F.col("lid"), field=F.col("quarantine_field")))
     blocked = bool(reasons & {"read_incomplete", "empty_tab", "header_blocked"}) or has_duplicates or (policy.block_on_quarantine and bool(bad.limit(1).count()))
     clean = left.join(duplicate, "lid", "left_anti").where(F.col("state") != "quarantined")
-    matches = store(cascade(clean.select("lid", "sync_id", "natural_key"), right.select("rid", "sync_id", "natural_key"), policy.identity_strategy), "plan-matches")
+    matches = store(cascade(clean.select("lid", "sync_id", "natural_key"), right.select("rid", "sync_id", "natural_key"), policy.identity_strategy, source.count() + target.count()), "plan-matches")
     several = matches.where(F.col("outcome") == "multi_match")
     if several.limit(1).count():
         reasons.add("duplicate_identity")

@@ -1,11 +1,13 @@
 """Steps whose memory, traffic or tasks must not outgrow the input."""
 
 import json
+import random
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
 from tallyline import ops_queries, source_queries
-from tallyline.operators import tree, worklist
+from tallyline.operators import identity, tree, worklist
 from tallyline.plans.contract import jcs
 from tallyline.sources import feed, listings
 
@@ -50,3 +52,36 @@ def test_declarations_are_checked_by_many_tasks(spark, tmp_path, monkeypatch):
     assert len(sizes) == 7 and sum(sizes) == 1000 and max(sizes) <= 150
     text = "".join(map(chr, range(1, 128))) + "ü\u2028"
     assert json.loads(jcs({"a": text, "b": "plain"})) == {"a": text, "b": "plain"}
+
+
+def plain_cascade(left, right, strategy):
+    out, l, r = [], dict((x[0], x[1:]) for x in left), dict((x[0], x[1:]) for x in right)
+    for at, name in ((0, "matched_sync_id"), (1, "matched_key")):
+        if strategy == ("natural_key", "sync_id")[at]:
+            continue
+        sides = defaultdict(list), defaultdict(list)
+        for rows, side in zip((l, r), sides):
+            for i, ids in rows.items():
+                if ids[at] is not None:
+                    side[ids[at]].append(i)
+        for k in sides[0].keys() & sides[1].keys():
+            a, b = min(sides[0][k]), sides[1][k]
+            if len(b) > 1 and at == 0:
+                continue
+            out.append((a, min(b), name if len(b) == 1 else "multi_match"))
+            del l[a]
+            for i in b:
+                del r[i]
+    return {*out, *((i, None, "unmatched_source") for i in l), *((None, i, "unmatched_target") for i in r)}
+
+
+def test_cascade_deals_rows_to_bounded_tasks(spark):
+    rng = random.Random(5)
+    some = lambda p, n: f"{p}{rng.randrange(n)}" if rng.random() < 0.7 else None
+    left, right = ([(i, some("S", 60), some("K", 50)) for i in range(n)] for n in (80, 90))
+    l = spark.createDataFrame(left, "lid long, sync_id string, natural_key string")
+    r = spark.createDataFrame(right, "rid long, sync_id string, natural_key string")
+    for strategy in identity.STRATEGIES:
+        assert {tuple(x) for x in identity.cascade(l, r, strategy).collect()} == plain_cascade(left, right, strategy), strategy
+    found = identity.cascade(l, r, rows=6 * identity.PART_ROWS)
+    assert "lid" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 7), REPARTITION_BY_NUM" in plan
