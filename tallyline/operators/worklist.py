@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tallyline.functions.text import join_key
 from tallyline.plans.contract import ContractError, build, spec_version, validate
+from tallyline.sources import scratch
 
 
 def due_tabs(tabs: DataFrame, files: DataFrame, fingerprints: DataFrame, connection: str | None = None) -> DataFrame:
@@ -53,7 +54,7 @@ CHECK_ROWS = 10_000
 
 def spread(rows: DataFrame) -> DataFrame:
     """``rows`` over as many tasks as ``checked`` needs for them."""
-    return rows.repartition(rows.count() // CHECK_ROWS + 1)
+    return scratch.spread(rows, CHECK_ROWS)
 
 
 @F.pandas_udf(T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("reason", T.StringType()), T.StructField("spec", T.StringType())]))

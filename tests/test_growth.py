@@ -6,7 +6,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from tallyline import ops_queries, source_queries
+from tallyline import ops_queries, queries, source_queries
 from tallyline.operators import identity, tree, worklist
 from tallyline.plans.contract import jcs
 from tallyline.sources import feed, listings
@@ -85,3 +85,14 @@ def test_cascade_deals_rows_to_bounded_tasks(spark):
         assert {tuple(x) for x in identity.cascade(l, r, strategy).collect()} == plain_cascade(left, right, strategy), strategy
     found = identity.cascade(l, r, rows=6 * identity.PART_ROWS)
     assert "lid" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 7), REPARTITION_BY_NUM" in plan
+
+
+def test_sides_are_staged_by_many_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.range(400).select(F.col("id").alias("c_custkey"), F.lit("N").alias("c_name"), F.lit(1).alias("c_nationkey"), F.lit(1.5).alias("c_acctbal"), F.lit("S").alias("c_mktsegment"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(queries, "STAGE_ROWS", 60)
+    for side in queries.sides(spark, str(tmp_path)):
+        sizes = [r["count"] for r in side.rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) > 4 and max(sizes) < 150
+    out = queries.apply_convergence(spark, str(tmp_path)).first()
+    assert (out["before"], out["after"]) == (4, 0)  # multiples of 89 but of neither 97 nor 101
