@@ -13,6 +13,7 @@ Partitions pack on their own and at once, without any shuffle; each closes one p
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -23,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import lean, resident, slices, small_batches
+from tallyline.llm.common import lean, resident, slices, small_batches, texts_of
 from tallyline.llm.encoders import CachedEncoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 BLOCK_TOKENS = 1 << 18
-CACHED_WORDS = 200_000
+CACHED_WORDS = 120_000
+#: UTF-8 bytes of text that are cut and looked up at once.
+SLICE_BYTES = 1 << 19
 SENTENCE_PENALTY, TOKEN_PENALTY, SEQUENCE_COST, GRID, FULL = 1.0, 3.0, 8.0, 128, 4
 
 
@@ -150,8 +153,8 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = 2048, id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         e, ends = resident(("packing", tokenizer), lambda: (CachedEncoder(tokenizer, CACHED_WORDS), _sentence_ends(tokenizer)))
-        tail = np.array([end_id], e.dtype).tobytes()
         packer = Packer(ends, length, TaskContext.get().partitionId() << 33)
         names = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -159,9 +162,11 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = 2048, id
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pieces)], names)
 
         for batch in batches:
-            for part in slices(batch, 1):
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if pieces := packer.add(doc_id, np.frombuffer(e.encode_bytes(text or "") + tail, e.dtype)):
+            for part in slices(batch, 1, SLICE_BYTES):
+                ids, stops = e.encode_batch(texts_of(part, 1), end_id)
+                stops = stops.tolist()
+                for doc_id, begin, stop in zip(part.column(0).to_pylist(), [0, *stops], stops):
+                    if pieces := packer.add(doc_id, ids[begin:stop]):
                         yield rows(pieces)
         if pieces := packer.pack(True):
             yield rows(pieces)

@@ -63,6 +63,37 @@ def test_every_character_and_random_sequences():
     assert [x for x in texts if c.encode(x) != k.encode_ordinary(x)] == []
 
 
+def test_batches_of_texts_equal_the_library():
+    """Many texts at once: contractions, digits, white space, texts that go to the library whole, full caches."""
+    rng = random.Random(11)
+    odd = "strevlmda''''  \t1é!.ßΣ’日\x1c\x85\xa0"
+    texts = [x or "" for x in TEXTS] + ["".join(rng.choice(odd) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += ["a'", "'", "x're've'd1'll'l 'lls 's's", "𝒜b 'S", " á b", "a<|endoftext|>'s <|", "</w> a</w>", ""]
+    for path, sizes in ((WORD, (50, 2000, 100_000)), (BPE, (2000,))):
+        want = [[*x.ids, 1] for x in library(path).encode_batch_fast(texts, add_special_tokens=False)]
+        for entries in sizes:
+            e = CachedEncoder(path, entries)
+            for k in (1, 7, len(texts)):
+                for at in range(0, len(texts) if k > 1 else 400, k):
+                    ids, ends = e.encode_batch(texts[at : at + k], 1)
+                    assert [x.tolist() for x in np.split(ids, ends[:-1])] == want[at : at + k] and ends[-1] == len(ids)
+                    assert len(e.cache) <= entries and len(e.cache.old) <= entries
+
+
+def test_packing_looks_each_word_up_once_a_slice(monkeypatch):
+    """Not once for each occurrence; the library gets unknown words in one call."""
+    e, looked, made = CachedEncoder(WORD), [], []
+    values, words = e.cache.values_of, e._words
+    monkeypatch.setattr(e.cache, "values_of", lambda x, make: looked.append(x) or values(x, make))
+    monkeypatch.setattr(e, "_words", lambda x: made.append(x) or words(x))
+    monkeypatch.setattr(e, "_word", None)
+    text = "The cat's 12 hats, the cat.\n" * 500
+    for _ in range(2):
+        ids, ends = e.encode_batch([text, "", "the é"], 1)
+        assert ids[: ends[0] - 1].tolist() == library(WORD).encode(text, add_special_tokens=False).ids
+    assert [sorted(x) for x in looked] == [sorted(["the", "cat", "'s", "1", "2", "hats", ",", ".", "é"])] * 2 and [len(x) for x in made] == [9]
+
+
 def test_token_counts(spark, docs):
     t = library(BPE)
     got = {r["doc_id"]: r for r in token_counts.token_report(docs, BPE).collect()}
